@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 from spendframe.functions.text import strip
 
 _TIME = r"(?:[T ]\s*(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?"
-_ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
+_DAY_MONTH_YEAR = r"(\d{1,2})[/.](\d{1,2})[/.](\d{4})"
+_NUMERIC = (
+    rf"\A(?:(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})|(\d{{4}})(\d{{2}})(\d{{2}})|{_DAY_MONTH_YEAR}){_TIME}\z"
+)
+_ZONED = r"\A\d{4}-.*\d(?:Z|[+-]\d{2}:?\d{2})\z"
 _MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_MONTH = (
-    "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
-    "|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_MONTH = "|".join(
+    f"{name[:3]}(?:{name[3:]})?" if name[3:] else name
+    for name in (
+        "january february march april may june july august september october november december"
+    ).split()
+).replace("sep(?:tember)?", "sept?(?:ember)?")
+_NAMED = (
+    rf"(?i)\A(?:(\d{{1,2}})[ -]({_MONTH})[ -](\d{{4}})|({_MONTH}) (\d{{1,2}}),? (\d{{4}})){_TIME}\z"
 )
 
 
 def _ntz(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
+    return F.rtrim(text).try_cast("timestamp_ntz")
 
 
 def _utc_ntz(text: Column) -> Column:
@@ -38,47 +47,24 @@ def parse_date(text: Column) -> Column:
     Year-first, day and month with slashes or dots (month first unless that is
     impossible), compact ``yyyyMMdd`` and English month names, each with an
     optional time of day. An ISO time with a zone is taken to UTC.
+
+    The alternatives share patterns (a group that did not take part is empty in
+    the replacement), which keeps the generated code small enough to be compiled.
     """
     value = strip(text)
-
-    def shape(pattern: str) -> Column:
-        return value.rlike(rf"(?i)\A{pattern}\z")
-
-    def iso(pattern: str, rewrite: str) -> Column:
-        return _ntz(F.rtrim(F.regexp_replace(value, rf"(?i)\A{pattern}\z", rewrite)))
-
-    year_first = rf"(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}"
-    compact = rf"(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}"
-    numeric = rf"(\d{{1,2}})[/.](\d{{1,2}})[/.](\d{{4}}){_TIME}"
-    day_name_year = rf"(\d{{1,2}})[ -]{_MONTH}[ -](\d{{4}}){_TIME}"
-    name_day_year = rf"{_MONTH} (\d{{1,2}}),? (\d{{4}}){_TIME}"
-
-    # _MONTH_STARTS has month m at character 3*m - 2.
-    letters = F.lower(F.regexp_extract(value, "([A-Za-z]{3})", 1))
-    month = ((F.instr(F.lit(_MONTH_STARTS), letters) + 2) / 3).cast("int").cast("string")
-
-    def named(pattern: str) -> Column:
-        year, day_and_time = (
-            F.regexp_replace(value, rf"(?i)\A{pattern}\z", kept) for kept in ("$2", "$1 $3")
-        )
-        return _ntz(F.rtrim(F.concat_ws("-", year, month, day_and_time)))
-
-    # A four-digit start settles the common case with one cheap test.
+    month_first = F.regexp_replace(value, _NUMERIC, "$1$4$9-$2$5$7-$3$6$8 $10")
+    day_first = F.regexp_replace(value, rf"\A{_DAY_MONTH_YEAR}{_TIME}\z", "$3-$2-$1 $4")
+    # Year, month name, day; the name is then replaced by its place in the year.
+    named = F.regexp_replace(value, _NAMED, "$3$6-$2$4-$1$5 $7")
+    letters = F.lower(F.substring(named, 6, 3))
+    month = F.floor((F.instr(F.lit(_MONTH_STARTS), letters) + 2) / 3).cast("string")
+    numbered = F.concat(
+        F.substring(named, 1, 5), month, F.regexp_extract(named, r"\A.{5}[A-Za-z]+(.*)\z", 1)
+    )
     return (
-        F.when(
-            value.rlike(r"\A\d{4}"),
-            F.when(shape(r"\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?"),
-                   _ntz(value))
-            .when(shape(rf"\d{{4}}-.*\d{_ZONE}"), _utc_ntz(value))
-            .when(shape(year_first), iso(year_first, "$1-$2-$3 $4"))
-            .when(shape(compact), iso(compact, "$1-$2-$3 $4")),
-        )
-        .when(
-            shape(numeric),
-            F.coalesce(iso(numeric, "$3-$1-$2 $4"), iso(numeric, "$3-$2-$1 $4")),
-        )
-        .when(shape(day_name_year), named(day_name_year))
-        .when(shape(name_day_year), named(name_day_year))
+        F.when(value.rlike(_NUMERIC), F.coalesce(_ntz(month_first), _ntz(day_first)))
+        .when(value.rlike(_ZONED), _utc_ntz(value))
+        .when(value.rlike(_NAMED), _ntz(numbered))
     )
 
 

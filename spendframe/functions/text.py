@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spendframe.functions.case import case
-
 # The characters that count as white space at the ends of a text.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Characters that end a line; CR directly before LF belongs to it.
@@ -106,9 +105,12 @@ OTHER_FILES = "Others"
 
 def file_kind(name: Column, kinds: dict[str, list[str]] | None = None) -> Column:
     suffix = F.lower(extension(name))
-    branches = [
-        (suffix.isin(suffixes), F.lit(label))
+    pairs = [
+        F.lit(part)
         for label, suffixes in (kinds or FILE_KINDS).items()
-        if suffixes
+        for one in suffixes
+        for part in (one, label)
     ]
-    return case(branches, F.lit(OTHER_FILES))
+    if not pairs:
+        return F.lit(OTHER_FILES)
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), suffix), F.lit(OTHER_FILES))

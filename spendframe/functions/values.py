@@ -122,20 +122,21 @@ def fixed(value: Column, places: int) -> Column:
         .when((rest == -0.5) & (error < 0), whole - 1)
         .otherwise(whole)
     )
-    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", nearest / scale))
+    text = F.format_string(f"%.{places}f", nearest / scale)
+    # Not a CASE on null: within a branch Spark would repeat the shared parts above.
+    return F.nullif(text, F.lit("null"))
 
 
 def human_size(size: Column) -> Column:
     """Size with one decimal in steps of 1024, from B to TB."""
     value = size.cast("double")
-    branches = [
-        (
-            value < float(1024 ** (power + 1)),
-            F.concat(fixed(value / float(1024**power), 1), F.lit(f" {unit}")),
-        )
-        for power, unit in enumerate(["B", "KB", "MB", "GB"])
-    ]
-    return case(branches, F.concat(fixed(value / float(1024**4), 1), F.lit(" TB")))
+    units = ["B", "KB", "MB", "GB", "TB"]
+    step = case(
+        [(value < float(1024 ** (power + 1)), F.lit(power)) for power in range(len(units) - 1)],
+        F.lit(len(units) - 1),
+    )
+    unit = F.get(F.array(*[F.lit(f" {name}") for name in units]), step)
+    return F.concat(fixed(value / F.pow(F.lit(1024.0), step), 1), unit)
 
 
 def short_size(size: Column) -> Column:

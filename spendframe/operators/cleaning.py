@@ -72,15 +72,18 @@ def _is_filled(df: DataFrame, slot: str) -> bool:
 
 
 def normalize(df: DataFrame, keys: Sequence[str] = (), mapping: Mapping[str, str] | None = None,
-              share_mode: bool = False, skip_empty_columns: bool = True) -> DataFrame:
+              share_mode: bool = False, drop_empty: bool = True) -> DataFrame:
     """Canonical ledger of a raw table, with ``CurrencyRank`` for the currency.
 
     ``keys`` are carried along and take no part in finding roles. Roles come from
     ``mapping`` or else from the headers. ``share_mode`` takes the amount from the
     first column named like a share that has no role, and fails on text that is no
-    number; it has no effect with an explicit mapping. A column without any value does not take
-    part; only columns whose header matters are probed for one, and the probe
-    can be switched off for tables known to be filled.
+    number; it has no effect with an explicit mapping.
+
+    Rows and columns without any value take no part. Columns are probed only if
+    their header matters, and each probe stops at the first value. For tables
+    known to have neither, ``drop_empty=False`` spares the probes and lets scans
+    leave out the columns that a query does not need.
     """
     keys = list(keys)
     headers = [name for name in df.columns if name not in keys]
@@ -94,10 +97,10 @@ def normalize(df: DataFrame, keys: Sequence[str] = (), mapping: Mapping[str, str
             known_or_null(F.col(slot)).alias(slot) if kinds[slot] == "string" else F.col(slot)
             for slot in slots
         ],
-    ).na.drop("all", subset=slots)
-
+    )
     used = list(range(len(headers)))
-    if skip_empty_columns:
+    if drop_empty:
+        clean = clean.na.drop("all", subset=slots)
         used = [i for i in used if not matters(headers[i]) or _is_filled(clean, slots[i])]
     names = [headers[i] for i in used]
     if mapping is not None:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.text import base_name, extension, file_kind, stem
-from spendframe.operators.ordering import block_of, number_rows
+from spendframe.operators.ordering import block_of, number_rows, with_group_facts
 
 NAME_BLOCK = 1024
+# A name that numbering another name could give: with an extension, or without any.
+_NUMBER = "([1-9][0-9]{0,17})"
+_NUMBERED = rf"(?s)\A(?:(.*[^.].*)_{_NUMBER}(\.[^.]*)|(\.*[^.]*)_{_NUMBER})\z"
 
 
 def classify(files: DataFrame, path: str = "path",
@@ -43,20 +46,13 @@ def latest(files: DataFrame, folder: str = "folder", path: str = "path",
 
 def mark_stale(files: DataFrame, folder: str = "folder", path: str = "path",
                modified: str = "modified") -> DataFrame:
-    """All files with ``stale``, true for all but the newest of each folder.
-
-    A join with one row per folder, which AQE can split where a folder is large.
-    """
-    newest = files.groupBy(F.struct(folder).alias("_folder")).agg(
-        F.max(F.struct(modified, path)).alias("_newest")
-    )
+    """All files with ``stale``, true for all but the newest of each folder."""
+    newest = files.groupBy(folder).agg(F.max(F.struct(modified, path)).alias("_newest"))
+    stale = F.struct(modified, path) != F.col("_newest")
     return (
-        files.withColumn("_folder", F.struct(folder))
-        .join(newest, "_folder")
-        .select(
-            *files.columns,
-            (F.struct(modified, path) != F.col("_newest")).alias("stale"),
-        )
+        with_group_facts(files, folder, F.col(path), newest)
+        .withColumn("stale", stale)
+        .drop("_newest")
     )
 
 
@@ -131,21 +127,12 @@ def _taken_numbers(counts: DataFrame) -> DataFrame:
     ``from`` on, ``count`` more numbers are taken. ``_ahead`` sums up the earlier
     blocks. At most NAME_BLOCK steps are in a block.
     """
-    whole = F.col("_n")
-    pattern = r"(?s)\A(.*)_([1-9][0-9]{0,17})\z"
-    owner = F.concat(F.regexp_extract(stem(whole), pattern, 1), extension(whole))
-    taken = (
-        counts.filter(stem(whole).rlike(pattern))
-        .select(
-            "_f",
-            owner.alias("_n"),
-            F.regexp_extract(stem(whole), pattern, 2).cast("bigint").alias("_t"),
-            extension(whole).alias("_ext"),
-        )
-        .filter(extension(F.col("_n")) == F.col("_ext"))
-        .select("_f", "_n", "_t")
-        .distinct()
-    )
+    numbered = counts.filter(F.col("_n").rlike(_NUMBERED))
+    taken = numbered.select(
+        "_f",
+        F.regexp_replace("_n", _NUMBERED, "$1$4$3").alias("_n"),
+        F.regexp_replace("_n", _NUMBERED, "$2$5").cast("bigint").alias("_t"),
+    ).distinct()
     steps = (
         number_rows(taken, ["_f", "_n"], "_t")
         .groupBy("_f", "_n", (F.col("_t") - F.col("seq") + 1).alias("from"))

@@ -18,12 +18,16 @@ DEFAULT_DAYS = 30
 PROJECTED_DAYS = 30
 
 
-def _days(df: DataFrame) -> Column:
-    """Whole days elapsed between the first and last date; 30 if none or not positive."""
+def _dated(df: DataFrame) -> DataFrame:
+    """Add the parsed date, once for all aggregates that need it."""
     if "Date" not in df.columns:
-        return F.lit(DEFAULT_DAYS)
-    stamp = as_timestamp(F.col("Date"), df.schema["Date"].dataType.typeName())
-    elapsed = F.extract(F.lit("DAY"), F.max(stamp) - F.min(stamp))
+        return df.withColumn("_ts", F.lit(None).cast("timestamp_ntz"))
+    return df.withColumn("_ts", as_timestamp(F.col("Date"), df.schema["Date"].dataType.typeName()))
+
+
+def _days() -> Column:
+    """Whole days elapsed between the first and last date; 30 if none or not positive."""
+    elapsed = F.extract(F.lit("DAY"), F.max("_ts") - F.min("_ts"))
     return F.when(elapsed > 0, elapsed).otherwise(F.lit(DEFAULT_DAYS))
 
 
@@ -46,7 +50,7 @@ def ledger_metrics(df: DataFrame, keys: Sequence[str] = (),
         settled(F.sum("Amt")).alias("total"),
         F.max("Amt").alias("highest"),
         F.coalesce(F.min(F.when(F.col("Amt") > 0, F.col("Amt"))), F.lit(0.0)).alias("lowest"),
-        _days(df).alias("days"),
+        _days().alias("days"),
         _currency(df).alias("currency"),
     ]
     if "Category" in df.columns:
@@ -59,7 +63,7 @@ def ledger_metrics(df: DataFrame, keys: Sequence[str] = (),
             for name in names
         ]
         ranked = F.array_sort(F.filter(F.array(*sums), lambda one: one["lost"].isNotNull()))
-        metrics = df.groupBy(*keys).agg(*aggregates, ranked.alias("ranked"))
+        metrics = _dated(df).groupBy(*keys).agg(*aggregates, ranked.alias("ranked"))
     else:
         place = F.struct((-F.col("amount")).alias("lost"), F.col("Desc").alias("name"))
         largest = (
@@ -67,7 +71,7 @@ def ledger_metrics(df: DataFrame, keys: Sequence[str] = (),
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_list(place)).alias("ranked"))
         )
-        metrics = attach(df.groupBy(*keys).agg(*aggregates), largest, keys)
+        metrics = attach(_dated(df).groupBy(*keys).agg(*aggregates), largest, keys)
     return (
         metrics.withColumn("burn", F.col("total") / F.col("days"))
         .withColumn("projection", F.col("burn") * PROJECTED_DAYS)
@@ -101,9 +105,9 @@ def with_shares(metrics: DataFrame) -> DataFrame:
 
 def burn_rate(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Total over days, and 30 times that; both rounded to two places."""
-    burn = settled(F.sum("Amt")) / _days(df)
-    return df.groupBy(*keys).agg(
-        _days(df).alias("days"),
+    burn = settled(F.sum("Amt")) / _days()
+    return _dated(df).groupBy(*keys).agg(
+        _days().alias("days"),
         round2(burn).alias("burn_rate"),
         round2(burn * PROJECTED_DAYS).alias("projected"),
     )
@@ -159,9 +163,9 @@ def affordable(projection: Column, price: float | Column, rule: str = "half") ->
 
 def affordability(df: DataFrame, keys: Sequence[str] = (), price: float | Column = 0.0,
                   rule: str = "half") -> DataFrame:
-    projection = settled(F.sum("Amt")) / _days(df) * PROJECTED_DAYS
+    projection = settled(F.sum("Amt")) / _days() * PROJECTED_DAYS
     return (
-        df.groupBy(*keys)
+        _dated(df).groupBy(*keys)
         .agg(projection.alias("_projection"))
         .select(
             *keys,

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.operators.keyed import maybe_sorted, same_keys
+from spendframe.operators.keyed import keyed_join, maybe_sorted
 
 # The largest ledgers, which get their limit by broadcast: a fixed number of rows.
 LARGE_LEDGERS = 1000
-# Slots of the coarse lower bounds, also broadcast: a fixed number of rows.
+# Slots of the coarse lower bounds, also broadcast: a fixed number of rows, a power of two.
 BOUND_SLOTS = 65536
 
 
@@ -74,17 +74,16 @@ def anomalies(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5) -> D
     )
 
     def slot() -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(BOUND_SLOTS)).cast("int")
+        # Never null, so the join puts no filter on this side and Spark can compute
+        # the limits once for all three uses.
+        return F.xxhash64(*keys).bitwiseAND(BOUND_SLOTS - 1)
 
     large = limits.orderBy(F.desc("_rows"), *keys).limit(LARGE_LEDGERS).select(
         *keys, F.col("_limit").alias("_known"), F.lit(True).alias("_large")
     )
     bounds = limits.groupBy(slot().alias("_slot")).agg(F.min("_limit").alias("_bound"))
 
-    rows = df.withColumn("_slot", slot())
-    rows = rows.join(F.broadcast(large), same_keys(rows, large, keys), "left").drop(
-        *[large[key] for key in keys]
-    )
+    rows = keyed_join(df.withColumn("_slot", slot()), large, keys, small=True)
     rows = rows.join(F.broadcast(bounds), "_slot", "left").filter(
         F.when(F.col("_large"), F.col("Amt") > F.col("_known")).otherwise(
             F.col("Amt") > F.col("_bound")
@@ -92,13 +91,13 @@ def anomalies(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5) -> D
     )
     salt = F.when(F.col("_large"), F.pmod(F.xxhash64(*df.columns), F.lit(997)) + 1)
     rows = rows.withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    exact = limits.select(*keys, F.col("_limit").alias("_exact"), F.lit(0).cast("bigint").alias("_zero"))
+    exact = limits.select(
+        *keys, F.col("_limit").alias("_exact"), F.lit(0).cast("bigint").alias("_unsalted")
+    )
     return (
-        rows.join(
-            exact, same_keys(rows, exact, keys) & (rows["_salt"] == exact["_zero"]), "left"
-        )
+        keyed_join(rows, exact, keys, also=F.col("_salt") == F.col("_unsalted"))
         .filter(F.coalesce(F.col("_large"), F.col("Amt") > F.col("_exact")))
-        .select(*[rows[name] for name in df.columns])
+        .select(*[f"`{name}`" for name in df.columns])
     )
 
 

@@ -81,21 +81,16 @@ def merge(df: DataFrame, order: DataFrame, group: str = "merge_id", rank: str =
     counts of the documents before it, so neither a long document nor a group of
     many documents is gathered anywhere.
     """
-    numbered = number_rows(df, [doc], pos).drop("total")
     sizes = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_size"))
     members = order.select(group, rank, doc).join(sizes, doc, "left").fillna(0, ["_size"])
     placed = sums_before(members, [group], rank, "_size", "_start")
     named = order.groupBy(group).agg(F.count(F.lit(1)).alias("_documents"))
-    checked = placed.join(named, group).withColumn(
-        "_start",
-        F.when(F.col("_documents") >= 2, F.col("_start")).otherwise(
-            F.raise_error(F.lit("At least 2 documents are required for merging")).cast("bigint")
-        ),
+    start = F.when(F.col("_documents") >= 2, F.col("_start")).otherwise(
+        F.raise_error(F.lit("At least 2 documents are required for merging")).cast("bigint")
     )
-    return numbered.join(checked.drop("_documents", "_size"), doc).select(
-        group,
-        (F.col("_start") + F.col("seq")).alias("new_pos"),
-        *df.columns,
+    starts = placed.join(named, group).select(doc, group, start.alias("_start"))
+    return number_rows(df, [doc], pos, facts=starts).select(
+        group, (F.col("_start") + F.col("seq")).alias("new_pos"), *df.columns
     )
 
 

@@ -35,9 +35,9 @@ def load_ledgers(spark: SparkSession, paths: str | list[str],
 def load_table(df: DataFrame, keys: Sequence[str] = (),
                mapping: Mapping[str, str] | None = None, share_mode: bool = False,
                taxonomy: Mapping[str, list[str]] | None = None,
-               skip_empty_columns: bool = True) -> DataFrame:
+               drop_empty: bool = True) -> DataFrame:
     """The same for a table that Spark has already, such as Parquet."""
-    return categorize(normalize(df, keys, mapping, share_mode, skip_empty_columns), taxonomy)
+    return categorize(normalize(df, keys, mapping, share_mode, drop_empty), taxonomy)
 
 
 def summarize_files(spark: SparkSession, paths: str | list[str],

@@ -33,7 +33,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: _four(name) for name in names})
 
 
-def _ledger(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+def _ledger(spark: SparkSession, folder: str, *keys: str, drop_empty: bool = False) -> DataFrame:
     """The messy ledger, its roles found from the headers."""
     raw = views.raw_ledger(spark, folder).select(
         *keys,
@@ -41,7 +41,7 @@ def _ledger(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
         F.col("raw_desc").alias("Payee"),
         F.col("raw_amt").alias("Debit"),
     )
-    return load_table(raw, keys, skip_empty_columns=False)
+    return load_table(raw, keys, drop_empty=drop_empty)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,7 +49,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def normalize_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return _ledger(spark, folder, "event_id").select("event_id", "Date", "Desc", "Amt", "Category")
+    ledger = _ledger(spark, folder, "event_id", drop_empty=True)
+    return ledger.select("event_id", "Date", "Desc", "Amt", "Category")
 
 
 def categorize_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,7 +174,7 @@ def strict_share_amount(spark: SparkSession, folder: str) -> DataFrame:
         F.col("value").alias("Cost"),
         F.col("raw_amt").alias("Your share"),
     )
-    ledger = load_table(raw, ["event_id"], share_mode=True, skip_empty_columns=False)
+    ledger = load_table(raw, ["event_id"], share_mode=True, drop_empty=False)
     return ledger.select("event_id", "Desc", "Amt")
 
 
