@@ -17,6 +17,7 @@ _DAY_MONTH_YEAR = r"(\d{1,2})[/.](\d{1,2})[/.](\d{4})"
 _NUMERIC = (
     rf"\A(?:(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})|(\d{{4}})(\d{{2}})(\d{{2}})|{_DAY_MONTH_YEAR}){_TIME}\z"
 )
+_ISO = r"\A\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d:\d\d(?:\.\d{1,6})?)?\z"
 _ZONED = r"\A\d{4}-.*\d(?:Z|[+-]\d{2}:?\d{2})\z"
 _MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH = "|".join(
@@ -61,8 +62,10 @@ def parse_date(text: Column) -> Column:
     numbered = F.concat(
         F.substring(named, 1, 5), month, F.regexp_extract(named, r"\A.{5}[A-Za-z]+(.*)\z", 1)
     )
+    # Plain ISO text, the most common, is cast as it is.
     return (
-        F.when(value.rlike(_NUMERIC), F.coalesce(_ntz(month_first), _ntz(day_first)))
+        F.when(value.rlike(_ISO), value.try_cast("timestamp_ntz"))
+        .when(value.rlike(_NUMERIC), F.coalesce(_ntz(month_first), _ntz(day_first)))
         .when(value.rlike(_ZONED), _utc_ntz(value))
         .when(value.rlike(_NAMED), _ntz(numbered))
     )

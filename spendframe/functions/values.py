@@ -123,8 +123,9 @@ def fixed(value: Column, places: int) -> Column:
         .otherwise(whole)
     )
     text = F.format_string(f"%.{places}f", nearest / scale)
-    # Not a CASE on null: within a branch Spark would repeat the shared parts above.
-    return F.nullif(text, F.lit("null"))
+    # A null prints as the first letters of "null". This is no CASE on null, since
+    # within a branch Spark would repeat the shared parts above.
+    return F.nullif(text, F.lit("null"[:places]))
 
 
 def human_size(size: Column) -> Column:

@@ -147,7 +147,7 @@ def test_category(spark):
     assert evaluate(spark, ["a vet", "x"], "string", lambda c: category(c, own, "?")) == ["Pets", "?"]
 
 
-LINES = ["", "a", "a\n", "a\n\n", "a\r\nb", "a\x0bb", "a b", "a\rb\r", "\n", "a\r\n", "x\x85", "a\n\rb"]
+LINES = ["", "a", "a\n", "a\n\n", "a\r\nb", "a\x0bb", "a\u2028b", "a\rb\r", "\n", "a\r\n", "x\x85", "a\n\rb"]
 
 
 def test_line_count(spark):
