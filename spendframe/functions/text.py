@@ -14,7 +14,8 @@ WHITESPACE = (
 
 # Characters that end a line; CR directly before LF belongs to it.
 LINE_BREAKS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
-_BREAK = rf"\r\n|[{LINE_BREAKS}]"
+# Any of them but CR before LF; led by the class, which is tried at every character.
+_BREAK = rf"[{LINE_BREAKS}](?<!\r(?=\n))"
 
 
 def strip(text: Column) -> Column:
