@@ -72,7 +72,12 @@ def parse_date(text: Column) -> Column:
 
 
 def as_timestamp(column: Column, data_type: str) -> Column:
-    """A date column of any type as ``TIMESTAMP_NTZ``; text goes through parse_date."""
-    if data_type == "string":
-        return parse_date(column)
-    return column.cast("timestamp_ntz")
+    """A date column of any type as ``TIMESTAMP_NTZ``.
+
+    Text goes through :func:`parse_date`; whole numbers are read as ``yyyyMMdd``.
+    """
+    if data_type in ("date", "timestamp", "timestamp_ntz"):
+        return column.cast("timestamp_ntz")
+    if data_type != "string":
+        column = column.cast("decimal(20,0)").cast("string")
+    return parse_date(column)
