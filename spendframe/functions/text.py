@@ -76,6 +76,17 @@ def markdown_blocks(text: Column) -> Column:
     return F.transform(F.filter(stripped, lambda line: line != ""), block)
 
 
+def plain_path(path: Column) -> Column:
+    """A path from file metadata, which is URL-encoded but for plus signs, in plain text.
+
+    Local paths come with one slash or three, depending on how they were given.
+    """
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    plain = F.when(path.contains("%"), decoded).otherwise(path)
+    local = F.regexp_replace(plain, r"\Afile:/+", "file:///")
+    return F.when(path.startswith("file:"), local).otherwise(plain)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

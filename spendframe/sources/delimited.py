@@ -9,13 +9,17 @@ share one known layout.
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendframe.functions.text import plain_path
+
 SOURCE = "source_file"
 _EXTRA = "_extra_field"
 # Bytes without a character in code page 1252.
@@ -93,7 +97,8 @@ def find_layouts(spark: SparkSession, paths: str | list[str]) -> list[Layout]:
     for row in files.toLocalIterator():
         encoding = "utf-8" if row["utf8"] else "latin1" if row["undefined"] else "cp1252"
         line = _decode(bytes(row["line"] or b""), encoding)
-        groups[(encoding, line)].append(row["file"])
+        if line.strip():
+            groups[(encoding, line)].append(_as_given(row["file"]))
     if not groups:
         raise ValueError("Critical Error: Could not read the file.")
     if len(groups) == 1:
@@ -107,6 +112,11 @@ def find_layouts(spark: SparkSession, paths: str | list[str]) -> list[Layout]:
     return layouts
 
 
+def _as_given(path: str) -> str:
+    """A path from file metadata, which is URL-encoded, as one that can be read again."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+
+
 def known_layout(spark: SparkSession, paths: str | list[str], encoding: str,
                  separator: str | None = None) -> Layout:
     """Layout of files that share an encoding and a header; reads one line of one file."""
@@ -149,7 +159,7 @@ def read_layout(spark: SparkSession, layout: Layout, multi_line: bool = False) -
     text = _from_1252 if layout.encoding == "cp1252" else (lambda column: column)
     return scan.filter(F.col(_EXTRA).isNull()).select(
         *[text(F.col(slot)).alias(name) for slot, name in zip(slots, layout.headers)],
-        F.col("_metadata.file_path").alias(SOURCE),
+        plain_path(F.col("_metadata.file_path")).alias(SOURCE),
     )
 
 

@@ -11,6 +11,7 @@ from spendframe.functions.text import (
     ends_with_break,
     extension,
     folder_name,
+    plain_path,
 )
 
 
@@ -38,7 +39,7 @@ def list_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file with its whole text, invalid bytes replaced by U+FFFD."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"),
+        plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_size").alias("length"),
         F.make_valid_utf8("value").alias("text"),
     )
@@ -73,7 +74,7 @@ def profile_text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     unfinished = F.col("bytes") + F.col("pieces") > F.col("length")
     return files.select(
-        "path",
+        plain_path(F.col("path")).alias("path"),
         "length",
         (F.col("chars") + F.col("pieces") - unfinished.cast("int")).alias("chars"),
         # A last piece that ends in another kind of break starts no line of its own.

@@ -62,6 +62,20 @@ def test_known_layout_skips_the_search(spark, tmp_path):
     assert rows(ledger, "Desc", "Amt") == [("x0", 0.0), ("x1", 1.0), ("x2", 2.0)]
 
 
+def test_awkward_file_names(spark, tmp_path):
+    names = ["a b+c[1].csv", "é 100%.csv", "x{y}.csv"]
+    for i, name in enumerate(names):
+        write(tmp_path, f"in/{name}", f"Date,Payee,Debit{i}\n2024-01-01,x,{i}\n")
+    write(tmp_path, "in/blank.csv", "\n\n")
+    ledger = load_ledgers(spark, str(tmp_path / "in"))
+    assert rows(ledger, "source_file", "Amt") == sorted(
+        [(f"file://{tmp_path}/in/{name}", float(i)) for i, name in enumerate(names)], key=str)
+    profiled = {r["path"] for r in files.profile_text_files(spark, str(tmp_path / "in")).collect()}
+    assert {f"file://{tmp_path}/in/{name}" for name in names} < profiled
+    listed = {r["name"] for r in files.list_files(spark, str(tmp_path / "in")).collect()}
+    assert set(names) < listed
+
+
 def test_quoted_newline(spark, tmp_path):
     path = write(tmp_path, "a.csv", 'Date,Payee,Debit\n2024-01-01,"a\nb",1\n')
     ledger = load_ledgers(spark, path, multi_line=True)
