@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.functions.text import lines, markdown_blocks, stem
-from spendframe.operators.ordering import block_of, number_rows, sums_before
+from spendframe.operators.ordering import block_of, number_rows, sums_before, with_group_facts
 
 
 def line_table(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,7 +88,9 @@ def merge(df: DataFrame, order: DataFrame, group: str = "merge_id", rank: str =
     start = F.when(F.col("_documents") >= 2, F.col("_start")).otherwise(
         F.raise_error(F.lit("At least 2 documents are required for merging")).cast("bigint")
     )
-    starts = placed.join(named, group).select(doc, group, start.alias("_start"))
+    starts = with_group_facts(placed, group, F.col(rank), named).select(
+        doc, group, start.alias("_start")
+    )
     return number_rows(df, [doc], pos, facts=starts).select(
         group, (F.col("_start") + F.col("seq")).alias("new_pos"), *df.columns
     )
