@@ -1,11 +1,11 @@
-"""Every registered query against its SQL on the smallest data set."""
+"""Every query of the library against its SQL on the smallest data set."""
 
 import pytest
 
 import __spark_entry__ as contract
 from compare import difference, duck
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from spendframe.plans.oracles import ORACLES
+from spendframe.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,8 @@ def tables(data):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
