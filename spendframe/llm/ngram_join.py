@@ -11,7 +11,9 @@ that linked sets must share one.
 2. Group pairs that share a prefix shingle are filtered by size and by the places of
    the shingle in both prefixes. Sizes are cut into buckets and each side is keyed by
    (shingle, bucket), so that the filters are part of the key.
-3. Pairs are expanded to members and verified on whole sets.
+3. Pairs are expanded to members and verified: first by a bound from bit fields, in
+   which each shingle flips one bit (two sets differ in at least as many shingles as
+   their fields in bits), then on whole sets.
 
 To find what hangs together it is not needed to look at all pairs within a cluster
 of copies. A first round verifies each posting against the hub of its cell, the one
@@ -43,7 +45,8 @@ from spendframe.llm.components import components
 WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 22
-FILTER_BITS = 25
+FILTER_BITS = 26
+PARITY_BITS = 256
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -92,16 +95,42 @@ def shingle_levels(docs: DataFrame, width: int) -> np.ndarray:
     return levels
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    bounds = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(row) for row in rows], out=bounds[1:])
+    values = np.concatenate(rows) if rows else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.view(np.int64)))
+
+
+def _parity(row: np.ndarray) -> bytes:
+    """A bit field of about the set's size in which each shingle flips one bit."""
+    bits = max(PARITY_BITS, 1 << int(len(row) - 1).bit_length())
+    flips = np.bincount((row & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(one: bytes, two: bytes) -> int:
+    """Bits that differ, after folding the longer field to the shorter one's length."""
+    left, right = sorted((one, two), key=len)
+    short, long, bits = int.from_bytes(left, "little"), int.from_bytes(right, "little"), len(right) * 8
+    while bits > len(left) * 8:
+        bits //= 2
+        long = (long >> bits) ^ (long & ((1 << bits) - 1))
+    return (short ^ long).bit_count()
+
+
 def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Size, two digests of the set, and digest and shingles of its prefix."""
+    """Size, digests of set and prefix, the prefix's shingles, and the set's bit field."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = len(batch)
             size, one, two, group = np.zeros(rows, np.int64), *(np.zeros(rows, np.uint64) for _ in range(3))
             prefixes: list[np.ndarray] = []
+            parity: list[bytes] = []
             for i, row in enumerate(_sets(batch.column(1), width)):
                 size[i] = n = len(row)
+                parity.append(_parity(row))
                 if n:
                     one[i] = arrays.mix(row).sum()
                     two[i] = np.bitwise_xor.reduce(arrays.mix(row + np.uint64(1)))
@@ -112,16 +141,63 @@ def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int) ->
                     prefixes.append(prefix)
                 else:
                     prefixes.append(row)
-            bounds = np.zeros(rows + 1, np.int32)
-            np.cumsum([len(p) for p in prefixes], out=bounds[1:])
-            values = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (one, two, group)),
-                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.view(np.int64)))],
-                names=["doc_id", "n", "one", "two", "group", "prefix"])
+                 _lists(prefixes), pa.array(parity, pa.binary())],
+                names=["doc_id", "n", "one", "two", "group", "prefix", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, one long, two long, group long, prefix array<long>")
+        sign, "doc_id long, n long, one long, two long, group long, prefix array<long>, parity binary")
+
+
+def _field(keys: DataFrame) -> np.ndarray:
+    """A bit field of fixed size with the bit of every key set; at most 2**21 words are collected.
+
+    Scans use it to pass over rows that have no match. It may let others through,
+    never hold one back, so an exact join follows.
+    """
+    bits = 1 << FILTER_BITS
+    found = (
+        keys.select(F.expr(f"shiftrightunsigned(key, {64 - FILTER_BITS})").alias("slot"))
+        .groupBy(F.expr("cast(slot div 32 as int)").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
+        .toPandas()
+    )
+    field = np.zeros(bits >> 5, np.uint32)
+    field[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return field
+
+
+def _in_field(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (field[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+
+
+def _postings(grouped: DataFrame) -> DataFrame:
+    """Shingle, place, size and node for each prefix shingle that several groups have."""
+    shared = (
+        grouped.select(F.explode("prefix").alias("token"), F.when(F.col("mixed"), 2).otherwise(1).alias("uses"))
+        .groupBy("token").agg(F.sum("uses").alias("uses")).filter("uses > 1").select("token")
+    )
+    shared = frames.store(shared, "shared")
+    field = _field(shared.select(F.col("token").alias("key")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(4)
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            counts = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), counts)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
+            wanted = _in_field(field, token)
+            row = pa.array(row[wanted])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(row) for i in range(4)), pa.array(pos[wanted].astype(np.int32)),
+                 pa.array(token[wanted])], names=["n", "group", "node", "mixed", "pos", "token"])
+
+    rows = grouped.select("n", "group", "node", "mixed", "prefix").mapInArrow(
+        spread, "n long, group long, node long, mixed boolean, pos int, token long")
+    return rows.join(shared, "token", "left_semi")
 
 
 def _bucket(n: Column, percent: int) -> Column:
@@ -148,42 +224,43 @@ def _ordered(left: str, right: str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
+def _plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bit fields do not differ in too many bits."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            differing = np.fromiter(map(_differing, batch.column(3).to_pylist(), batch.column(4).to_pylist()),
+                                    np.int64, len(batch))
+            # 100 * common >= percent * union, with common + common = sizes - difference at most.
+            yield batch.select([0, 1]).filter(
+                pa.array(100 * (sizes - differing) >= percent * (sizes + differing)))
+
+    facts = signed.select("doc_id", "n", "parity")
+    left = facts.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("left"))
+    right = facts.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("right"))
+    return (
+        pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "left", "right")
+        .mapInArrow(compare, "a long, b long").distinct()
+    )
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of ids whose whole sets are similar enough.
 
-    Sets are made again from the texts of the ids concerned only. A bit field of fixed
-    size lets the scan pass over nearly all others; the join afterwards is exact.
+    Sets are made again from the texts of the ids concerned only.
     """
-    bits = 1 << FILTER_BITS
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    fields = (
-        ids.select(F.pmod(F.xxhash64("node"), F.lit(bits)).alias("slot"))
-        .groupBy(F.expr("cast(slot div 32 as int)").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
-        .toPandas()
-    )
-    field = np.zeros(bits >> 5, np.uint32)
-    field[fields["word"].to_numpy(np.int64)] = fields["bits"].to_numpy(np.int64).astype(np.uint32)
+    field = _field(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("key")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False)
-            wanted = (field[place >> 5] >> (place & 31).astype(np.uint32)) & 1
-            batch = batch.filter(pa.array(wanted.astype(bool)))
-            if not len(batch):
-                continue
-            rows = list(_sets(batch.column(2), width))
-            bounds = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(row) for row in rows], out=bounds[1:])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.ListArray.from_arrays(
-                    pa.array(bounds), pa.array(np.concatenate(rows).view(np.int64)))],
-                names=["node", "items"])
-
-    slotted = docs.filter("doc_id is not null").select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"), "doc_id", "text")
-    sets = frames.store(slotted.mapInArrow(build, "node long, items array<long>")
-                        .join(ids, "node", "left_semi").distinct(), "sets")
+            batch = batch.filter(pa.array(_in_field(field, batch.column(0).to_numpy(zero_copy_only=False))))
+            if len(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1), _lists(list(_sets(batch.column(2), width)))], names=["node", "items"])
+
+    hashed = docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text")
+    sets = frames.store(hashed.mapInArrow(build, "node long, items array<long>"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
@@ -208,10 +285,8 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"),
         ((F.min("one") != F.max("one")) | (F.min("two") != F.max("two"))).alias("mixed"))
 
-    postings = grouped.select("n", "group", "node", "mixed", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.sum(F.when(F.col("mixed"), 2).otherwise(1)).alias("uses")).filter(
-        "uses > 1").select("token")
-    postings = frames.store(postings.join(shared, "token", "left_semi"), "postings")
+    grouped = frames.store(grouped, "groups")
+    postings = frames.store(_postings(grouped), "postings")
     members = frames.store(
         classes.select("n", "group", F.col("node").alias("member")).join(
             grouped.filter("mixed").select("n", "group", "node"), ["n", "group"]).filter("member != node"), "members")
@@ -223,7 +298,8 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         .select(*_ordered("node", "hub.node"))
     )
     first = frames.store(near.union(members.select(*_ordered("node", "member"))).distinct(), "pairs")
-    links = frames.store(_verified(docs, first, width, percent), "verified")
+    likely = frames.store(_plausible(first, usable, percent), "likely")
+    links = frames.store(_verified(docs, likely, width, percent), "verified")
     known = frames.store(components(links), "components")
 
     everyone = postings.select("token", "pos", "n", "node").union(
@@ -250,7 +326,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         .select(*_ordered("x", "y")).distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    rest = frames.store(rest, "pairs")
+    rest = frames.store(_plausible(rest, usable, percent), "likely")
     if not rest.isEmpty():
         links = links.union(_verified(docs, rest, width, percent))
         known = frames.store(components(links), "components")
