@@ -1,10 +1,10 @@
 """N-gram Jaccard join: a grouped prefix join on sets of word shingles.
 
 A text's set holds its distinct shingles; two texts link when the Jaccard
-similarity of their sets reaches ``percent``. Shingles are ordered globally, rare
-ones first: a fixed-size count sketch over the whole corpus gives each a level, and
-the hash breaks ties. A set's prefix is its first shingles in that order, so many
-that linked sets must share one.
+similarity of their sets reaches ``percent``. Shingles are ordered globally: by
+their hash, but frequent ones last. Frequent are those found often among the first
+shingles by hash of all texts; two bit fields of fixed size hold them. A set's prefix
+is its first shingles in that order, so many that linked sets must share one.
 
 1. Texts with equal sets are one class. Classes with equal prefix and size are one
    group, and only groups are indexed by their prefix.
@@ -44,8 +44,11 @@ from spendframe.llm.components import components
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_BITS = 22
+#: Shingles that so many texts have among their first ones come late and last in the order.
+FREQUENT = (16, 512)
 FILTER_BITS = 26
+#: Rows whose shingles are counted by one group.
+ROWS_A_GROUP = 128
 PARITY_BITS = 256
 
 
@@ -58,41 +61,68 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from arrays.distinct(*arrays.windows(hashes, arrays.firsts(begins, rows), width))
 
 
-def shingle_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """For each cell of the sketch the binary magnitude of its count, 0 if light.
+def _counted(lists: DataFrame, groups: int) -> DataFrame:
+    """Columns key and uses: how often each shingle occurs in a column of lists, with weights.
 
-    A task counts all its shingles in one array of fixed size and reports cells far
-    above their mean load. At most 2**SKETCH_BITS sums reach the driver.
+    Each task sums up its own shingles first, so a frequent one is a single entry of
+    it, and packs them by hash range. A group then adds up the packs of its range.
     """
-    cells = 1 << SKETCH_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.int64)
-        total = 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = arrays.utf8(batch.column(0))
-            waiting: list[np.ndarray] = []
-            for low, high in arrays.groups(bounds):
-                rows = bounds[low : high + 1]
-                hashes, begins, _ = arrays.words(data, rows, arrays.WHITE, arrays.FOLDED)
-                shingles, _ = arrays.windows(hashes, arrays.firsts(begins, rows), width)
-                waiting.append((shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                if sum(map(len, waiting)) > cells:
-                    counts += np.bincount(np.concatenate(waiting), minlength=cells)
-                    waiting = []
-                total += len(shingles)
-            if waiting:
-                counts += np.bincount(np.concatenate(waiting), minlength=cells)
-        heavy = np.flatnonzero(counts >= max(8, 4 * total // cells))
-        yield pa.RecordBatch.from_arrays([pa.array(heavy, pa.int64()), pa.array(counts[heavy], pa.int64())],
-                                         names=["cell", "n"])
-
-    sums = (docs.select("text").mapInArrow(count, "cell long, n long")
-            .groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 16"))
-    found = sums.select("cell", F.floor(F.log2("n")).cast("int").alias("level")).toPandas()
-    levels = np.zeros(cells, np.uint8)
-    levels[found["cell"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
-    return levels
+            column = batch.column(0)
+            keys = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            weights = np.repeat(batch.column(1).to_numpy(zero_copy_only=False),
+                                column.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+            uses = np.add.reduceat(weights[order], starts) if len(starts) else weights[:0]
+            keys = keys[starts]
+            part = (keys >> np.uint64(44)).astype(np.int64) * groups >> 20
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            bounds = np.append(cuts, len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[cuts]),
+                 pa.array([keys[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                 pa.array([np.minimum(uses[i:j], 65535).astype(np.uint16).tobytes()
+                           for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
+                names=["part", "keys", "uses"])
+
+    def add(packs: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(packs.column("keys").to_pylist()), np.uint64)
+        uses = np.frombuffer(b"".join(packs.column("uses").to_pylist()), np.uint16)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+        sums = np.add.reduceat(uses[order].astype(np.int64), starts)
+        often = sums > 1
+        return pa.table({"key": keys[starts][often].view(np.int64), "uses": sums[often]})
+
+    packed = lists.mapInArrow(pack, "part long, keys binary, uses binary")
+    return packed.groupBy("part").applyInArrow(add, "key long, uses long")
+
+
+def _first(row: np.ndarray, percent: int) -> int:
+    """Length of the prefix in which a set meets every set similar enough to it."""
+    return len(row) - -(-percent * len(row) // 100) + 1 if len(row) else 0
+
+
+def frequent_shingles(docs: DataFrame, width: int, percent: int, groups: int) -> list[np.ndarray]:
+    """Bit fields of the shingles that are frequent among the first ones by hash.
+
+    A quarter more than a prefix is counted, so that what moves up is known as well.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row[: _first(row, percent) * 5 // 4] for row in _sets(batch.column(0), width)]
+            yield pa.RecordBatch.from_arrays([_lists(rows), pa.array(np.ones(len(rows), np.int32))],
+                                             names=["items", "weight"])
+
+    lists = docs.select("text").mapInArrow(cut, "items array<long>, weight int")
+    counted = frames.store(_counted(lists, groups).filter(F.col("uses") >= FREQUENT[0]), "frequent")
+    return [_field(counted.filter(F.col("uses") >= least)) for least in FREQUENT]
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -119,7 +149,7 @@ def _differing(one: bytes, two: bytes) -> int:
     return (short ^ long).bit_count()
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, frequent: list[np.ndarray], width: int, percent: int) -> DataFrame:
     """Size, digests of set and prefix, the prefix's shingles, and the set's bit field."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +164,9 @@ def signatures(docs: DataFrame, levels: np.ndarray, width: int, percent: int) ->
                 if n:
                     one[i] = arrays.mix(row).sum()
                     two[i] = np.bitwise_xor.reduce(arrays.mix(row + np.uint64(1)))
-                    level = levels[(row >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    level = sum(_in_field(field, row).astype(np.int8) for field in frequent)
                     # Ascending hashes, so a stable sort by level orders by (level, hash).
-                    prefix = row[np.argsort(level, kind="stable")][: n - -(-percent * n // 100) + 1]
+                    prefix = row[np.argsort(level, kind="stable")][: _first(row, percent)]
                     group[i] = arrays.mix(prefix + np.uint64(2)).sum()
                     prefixes.append(prefix)
                 else:
@@ -173,17 +203,31 @@ def _in_field(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (field[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
 
 
-def _postings(grouped: DataFrame) -> DataFrame:
-    """Shingle, place, size and node for each prefix shingle that several groups have."""
-    shared = (
-        grouped.select(F.explode("prefix").alias("token"), F.when(F.col("mixed"), 2).otherwise(1).alias("uses"))
-        .groupBy("token").agg(F.sum("uses").alias("uses")).filter("uses > 1").select("token")
-    )
-    shared = frames.store(shared, "shared")
-    field = _field(shared.select(F.col("token").alias("key")))
+def _postings(signed: DataFrame, anchors: DataFrame, groups: int) -> DataFrame:
+    """Shingle, place, size, group and node for each prefix shingle that several groups have.
+
+    ``anchors`` has a node for each group. Bit fields pick their rows in the scan; a row
+    that slips through is one more node with the same shingles and does no harm.
+    """
+    chosen, mixed = (_field(nodes.select(F.xxhash64("node").alias("key")))
+                     for nodes in (anchors, anchors.filter("mixed")))
+    rows = signed.filter("n > 0 and doc_id is not null").select(
+        F.xxhash64("doc_id").alias("key"), "n", "group", F.col("doc_id").alias("node"), "prefix")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            weight = pa.array(1 + _in_field(mixed, key).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(1), weight], names=["items", "weight"]).filter(
+                pa.array(_in_field(chosen, key)))
+
+    lists = rows.select("key", "prefix").mapInArrow(weigh, "items array<long>, weight int")
+    shared = frames.store(_counted(lists, groups).select("key"), "shared")
+    field = _field(shared)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_in_field(chosen, batch.column(0).to_numpy(zero_copy_only=False))))
             prefix = batch.column(4)
             token = prefix.flatten().to_numpy(zero_copy_only=False)
             counts = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -192,12 +236,11 @@ def _postings(grouped: DataFrame) -> DataFrame:
             wanted = _in_field(field, token)
             row = pa.array(row[wanted])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(row) for i in range(4)), pa.array(pos[wanted].astype(np.int32)),
-                 pa.array(token[wanted])], names=["n", "group", "node", "mixed", "pos", "token"])
+                [*(batch.column(i).take(row) for i in (1, 2, 3)), pa.array(pos[wanted].astype(np.int32)),
+                 pa.array(token[wanted])], names=["n", "group", "node", "pos", "token"])
 
-    rows = grouped.select("n", "group", "node", "mixed", "prefix").mapInArrow(
-        spread, "n long, group long, node long, mixed boolean, pos int, token long")
-    return rows.join(shared, "token", "left_semi")
+    spread_rows = rows.mapInArrow(spread, "n long, group long, node long, pos int, token long")
+    return spread_rows.join(shared.withColumnRenamed("key", "token"), "token", "left_semi")
 
 
 def _bucket(n: Column, percent: int) -> Column:
@@ -276,20 +319,17 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
                           text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    levels = shingle_levels(docs, width)
-    signed = frames.store(signatures(docs, levels, width, percent), "signatures")
+    groups = max(16, docs.count() // ROWS_A_GROUP)
+    frequent = frequent_shingles(docs, width, percent, groups)
+    signed = frames.store(signatures(docs, frequent, width, percent), "signatures")
     usable = signed.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("n", "one", "two").agg(
-        F.min("doc_id").alias("node"), F.min("group").alias("group"), F.count("*").alias("rows"))
-    grouped = usable.groupBy("n", "group").agg(
-        F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"),
-        ((F.min("one") != F.max("one")) | (F.min("two") != F.max("two"))).alias("mixed"))
-
-    grouped = frames.store(grouped, "groups")
-    postings = frames.store(_postings(grouped), "postings")
+    classes = frames.store(usable.groupBy("n", "one", "two").agg(
+        F.min("doc_id").alias("node"), F.min("group").alias("group"), F.count("*").alias("rows")), "classes")
+    anchors = classes.groupBy("n", "group").agg(F.min("node").alias("node"), (F.count("*") > 1).alias("mixed"))
+    postings = frames.store(_postings(signed, anchors, groups), "postings")
     members = frames.store(
         classes.select("n", "group", F.col("node").alias("member")).join(
-            grouped.filter("mixed").select("n", "group", "node"), ["n", "group"]).filter("member != node"), "members")
+            anchors.filter("mixed").select("n", "group", "node"), ["n", "group"]).filter("member != node"), "members")
 
     hubs = _index(postings, percent).groupBy("token", "bucket").agg(F.min(F.struct("pos", "node", "n", "most")).alias("hub"))
     near = (
@@ -303,7 +343,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     known = frames.store(components(links), "components")
 
     everyone = postings.select("token", "pos", "n", "node").union(
-        postings.filter("mixed").join(members.select("n", "group", "member"), ["n", "group"])
+        postings.join(members.select("n", "group", "member"), ["n", "group"])
         .select("token", "pos", "n", F.col("member").alias("node")))
     labelled = frames.store(
         everyone.join(known, "node", "left").select(
@@ -328,8 +368,9 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     )
     rest = frames.store(_plausible(rest, usable, percent), "likely")
     if not rest.isEmpty():
-        links = links.union(_verified(docs, rest, width, percent))
-        known = frames.store(components(links), "components")
+        more = frames.store(_verified(docs, rest, width, percent), "verified")
+        if not more.isEmpty():
+            known = frames.store(components(links.union(more)), "components")
 
     # Classes of one row in no link stand for themselves.
     special = (
