@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendframe.llm import ngram_join, quality
+from spendframe.llm import decontamination, mixing, ngram_join, packing, quality
 from spendframe.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, folder, "documents"), width=3, percent=90)
 
 
+def op5_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("content")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "score")
 
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in (op4_ngram_join, op10_quality_rules)}
+QUERIES: dict[str, Query] = {query.__name__: query for query in (
+    op3_source_mixing, op4_ngram_join, op5_token_packing, op8_decontamination, op10_quality_rules)}
