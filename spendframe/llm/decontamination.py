@@ -3,8 +3,8 @@
 Words are runs of letters and digits, A-Z as a-z. For an item of L words every window
 of L words of every text is compared, as a multiset of five-word shingles:
 
-1. A window that holds fewer shingles of the benchmark than any item needs cannot be
-   similar enough and is passed over.
+1. A window that holds too few shingles of items of its size cannot be similar enough
+   to one of them and is passed over.
 2. The others get a 64-bit SimHash. Fingerprints are cut into four blocks of 16 bits.
    If two differ in at most ``RADIUS`` bits, some block differs in at most four, so
    looking up all such variants of each block in the block's table of items of that
@@ -76,7 +76,11 @@ class Items:
         by_words: dict[int, list[int]] = defaultdict(list)
         for place, size in enumerate(self.words):
             by_words[size].append(place)
-        #: For each item length the items and, for each block, its values in order.
+        pairs = sorted({(shingle, self.words[i]) for i, bag in enumerate(self.bags) for shingle in bag.tolist()})
+        #: The item sizes that each known shingle occurs in, from ``at`` on.
+        self.sizes = [size for _, size in pairs]
+        self.at = np.searchsorted(np.array([shingle for shingle, _ in pairs], np.uint64), self.known).tolist() + [len(pairs)]
+        #: For each item size the items and, for each block, its values in order.
         self.tables = {}
         for size, places in sorted(by_words.items()):
             parts = self.prints[places].view(np.uint16).reshape(-1, 4)
@@ -89,6 +93,14 @@ class Items:
         found[places] = np.isin(shingles[places], self.known)
         return found
 
+    def by_size(self, shingles: np.ndarray, places: np.ndarray) -> dict[int, list[int]]:
+        """For each item size the places whose shingle is in an item of that size."""
+        found: dict[int, list[int]] = defaultdict(list)
+        for place, known in zip(places.tolist(), np.searchsorted(self.known, shingles[places]).tolist(), strict=True):
+            for size in self.sizes[self.at[known] : self.at[known + 1]]:
+                found[size].append(place)
+        return found
+
     def within(self, size: int, code: np.uint64) -> list[int]:
         """Items of ``size`` words whose fingerprint is within the radius of ``code``."""
         places, blocks = self.tables[size]
@@ -112,15 +124,16 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
 
 def _matches(items: Items, shingles: np.ndarray, held: np.ndarray, percent: int) -> dict[int, tuple[float, int, int]]:
     """By item the best similarity, the first word and the words of its window."""
-    before = np.zeros(len(held) + 1, np.int64)
-    np.cumsum(held, out=before[1:])
     best: dict[int, tuple[float, int, int]] = {}
-    for size in items.tables:
+    for size, places in items.by_size(shingles, np.flatnonzero(held)).items():
         full = max(1, size - WIDTH + 1)
         width = min(full, len(shingles))
         need = -(-percent * full // 100)
-        if before[-1] < need:
+        if len(places) < need:
             continue
+        before = np.zeros(len(held) + 1, np.int64)
+        before[np.array(places) + 1] = 1
+        before = np.cumsum(before)
         for start in np.flatnonzero(before[width:] - before[:-width] >= need).tolist():
             window = shingles[start : start + width]
             for place in items.within(size, fingerprint(window)):
@@ -158,9 +171,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
     ``content`` is the digest of the text. ``benchmark`` has item_id and text.
     """
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"),
-                       frames.content_key(F.col(f"`{text}`")).alias("content"),
-                       F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
+    rows = frames.texts(docs, F.col(f"`{id}`").cast("long").alias("doc_id"),
+                        frames.content_key(F.col(f"`{text}`")).alias("content"),
+                        F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     parts = -(-asked.count() // block)
     # A little room, so that blocks by hash stay within the bound.

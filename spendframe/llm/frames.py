@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of ``docs``, for a Python function that reads whole texts.
+
+    Texts can be long, so batches of Arrow's default 10,000 rows are too large for
+    two tasks side by side; a session that sets a size of its own keeps it.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return docs.select(*columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
     context = spark.sparkContext

@@ -116,7 +116,7 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int, groups: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row[: _first(row, percent) * 5 // 4] for row in _sets(batch.column(0), width)]
+            rows = [row[: _first(row, percent) * 5 // 4].copy() for row in _sets(batch.column(0), width)]
             yield pa.RecordBatch.from_arrays([_lists(rows), pa.array(np.ones(len(rows), np.int32))],
                                              names=["items", "weight"])
 
@@ -318,7 +318,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                           text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = frames.texts(docs, F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     groups = max(16, docs.count() // ROWS_A_GROUP)
     frequent = frequent_shingles(docs, width, percent, groups)
     signed = frames.store(signatures(docs, frequent, width, percent), "signatures")

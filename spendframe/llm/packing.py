@@ -19,17 +19,20 @@ strings that look like special tokens are ordinary text; an empty table gives no
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendframe.llm import frames
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts were cut into pieces; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,38 +41,24 @@ LENGTH = 2048
 POOL = 4 << 20
 CARRIED = 256
 _FULL = 0.98
-_CACHED = 200_000
 
 SCHEMA = ("row_id long, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, "
           "doc_ids array<long>, origins array<long>, parts array<int>")
 
 
-class _Pieces(dict):
-    """The packed ids of pieces of text, made when first asked for."""
-
-    def __init__(self, encoding: tiktoken.Encoding):
-        self.encoding = encoding
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHED:
-            self.clear()
-        ids = np.array(self.encoding.encode_ordinary(piece), "<u2").tobytes()
-        self[piece] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> tuple[regex.Pattern, _Pieces]:
+def _encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return regex.compile(PATTERN), _Pieces(encoding)
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str | None, path: str = VOCABULARY) -> bytes:
-    """The text's ids as little-endian uint16. Equal pieces are encoded once."""
-    pattern, pieces = _pieces(path)
-    return b"".join(map(pieces.__getitem__, pattern.findall(text or "")))
+    """The text's ids as little-endian uint16."""
+    ids = array("H", _encoding(path).encode_ordinary(text or ""))
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
 
 
 class FreeSpace:
@@ -185,7 +174,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, en
         if pool:
             yield from flush(True)
 
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = frames.texts(docs, F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 

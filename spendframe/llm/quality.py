@@ -50,9 +50,9 @@ def rule_table(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
                 [batch.column(0), batch.column(1), *(pa.array(counts[name], pa.int64()) for name in COUNTS)],
                 names=["doc_id", "content", *COUNTS])
 
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"),
-                       frames.content_key(F.col(f"`{text}`")).alias("content"),
-                       F.col(f"`{text}`").cast("string").alias("text"))
+    rows = frames.texts(docs, F.col(f"`{id}`").cast("long").alias("doc_id"),
+                        frames.content_key(F.col(f"`{text}`")).alias("content"),
+                        F.col(f"`{text}`").cast("string").alias("text"))
     schema = "doc_id long, content long, " + ", ".join(f"{name} long" for name in COUNTS)
     return rows.mapInArrow(count, schema)
 
