@@ -1,5 +1,109 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express.
+
+Each states the result directly, by counting and comparing everything, and not the way
+the operator finds it. Languages, contextual patterns, packing, ring walks, SimHash
+search, derived records and the isolation forest have no SQL here; tests compare them
+with brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from spendframe.llm.licenses import PERCENT, PHRASES, TEMPLATES, template_words
+from spendframe.llm.mixing import SEED
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_MIXING = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+         row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM totals
+), shared AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+     - 3 * coalesce(CAST(sum(source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
+     / CAST(sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS unit
+  FROM weighted
+), targets AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), max(unit) OVER () * weight) AS target FROM shared
+), rated AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
+), drawn AS (
+  SELECT s.doc_id, s.size, r.source_size, r.target, r.rate,
+         CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS chance
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM drawn
+"""
+
+_NGRAM_JOIN = f"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS items
+  FROM cut
+), sized AS (SELECT doc_id, CAST(len(items) AS BIGINT) AS n_shingles FROM sets
+), flat AS (SELECT doc_id, unnest(items) AS item FROM sets
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM flat a JOIN flat b ON a.item = b.item AND a.doc_id < b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y
+  WHERE 100 * c >= 90 * (p.n_shingles + q.n_shingles - c)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+)
+SELECT s.doc_id, s.n_shingles, min(r.y) AS component_id FROM sized s JOIN reach r ON r.x = s.doc_id GROUP BY 1, 2
+"""
+
+
+def _words(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+
+def _license_scan() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, unnest([i - 1 for i in range(1, len(w) - {len(words) - 2}) if "
+        + " and ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words)) + "]) AS place FROM cut"
+        for label, words in ((label, phrase.split()) for label, phrase in PHRASES.items()))
+    templates = ", ".join(f"('{label}', {_words(words)})" for label, words in template_words(TEMPLATES))
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return f"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, {word}) AS w FROM documents
+), places AS ({places}
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS labels
+  FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, {word})) AS w
+  FROM (SELECT doc_id, unnest(string_split({_LOW}, chr(10))) AS line FROM documents)
+), templates(label, t) AS (VALUES {templates}
+), met AS (
+  SELECT doc_id, list_distinct(list(label)) AS labels, max(c / n) AS containment
+  FROM (SELECT doc_id, label, len(list_intersect(w, t)) AS c, len(t) AS n FROM lines, templates)
+  WHERE 100 * c >= {PERCENT} * n GROUP BY doc_id
+)
+SELECT c.doc_id, CAST(len(c.w) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base,
+       CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
+       array_to_string(list_sort(coalesce(b.labels, CAST([] AS VARCHAR[]))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, CAST([] AS VARCHAR[])), coalesce(m.labels, CAST([] AS VARCHAR[]))))), ',') AS labels,
+       CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(m.containment, 0.0) END AS score
+FROM cut c LEFT JOIN base b ON c.doc_id = b.doc_id LEFT JOIN met m ON c.doc_id = m.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_source_mixing": _MIXING,
+    "op4_ngram_join": _NGRAM_JOIN,
+    "op6_license_scan": _license_scan(),
+}
