@@ -2,9 +2,11 @@
 
 A text's set holds its distinct shingles; two texts link when the Jaccard
 similarity of their sets reaches ``percent``. Shingles are ordered globally: by
-their hash, but frequent ones last. Frequent are those found often among the first
-shingles by hash of all texts; two bit fields of fixed size hold them. A set's prefix
-is its first shingles in that order, so many that linked sets must share one.
+their hash, but repeated ones later and frequent ones last. Repetition is counted among
+the first shingles by hash of all texts, and among all shingles of those texts that
+have too few unrepeated ones there; bit fields of fixed size hold what was found. A
+set's prefix is its first shingles in that order, so many that linked sets must share
+one. The order only has to be the same for all sets, so the fields need not be exact.
 
 1. Texts with equal sets are one class. Classes with equal prefix and size are one
    group, and only groups are indexed by their prefix.
@@ -32,7 +34,7 @@ component and gives no links; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,8 @@ from spendframe.llm.components import components
 
 WIDTH = 5
 PERCENT = 80
-#: Shingles that so many texts have among their first ones come late and last in the order.
-FREQUENT = (16, 512)
+#: Shingles found so often come later and later in the order.
+REPEATED = (2, 16, 256)
 FILTER_BITS = 26
 #: Rows whose shingles are counted by one group.
 ROWS_A_GROUP = 128
@@ -108,21 +110,41 @@ def _first(row: np.ndarray, percent: int) -> int:
     return len(row) - -(-percent * len(row) // 100) + 1 if len(row) else 0
 
 
-def frequent_shingles(docs: DataFrame, width: int, percent: int, groups: int) -> list[np.ndarray]:
-    """Bit fields of the shingles that are frequent among the first ones by hash.
+def _level(row: np.ndarray, fields: list[np.ndarray]) -> np.ndarray:
+    return sum((_in_field(field, row).astype(np.int8) for field in fields), np.zeros(len(row), np.int8))
 
-    A quarter more than a prefix is counted, so that what moves up is known as well.
+
+def repeated_shingles(docs: DataFrame, width: int, percent: int, groups: int) -> list[np.ndarray]:
+    """Bit fields of shingles by how often they were found.
+
+    First the prefix by hash and half as much again of each set is counted. A set
+    that has fewer unrepeated shingles there than its prefix is long, because it is
+    much like others, is then counted in full.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row[: _first(row, percent) * 5 // 4].copy() for row in _sets(batch.column(0), width)]
-            yield pa.RecordBatch.from_arrays([_lists(rows), pa.array(np.ones(len(rows), np.int32))],
-                                             names=["items", "weight"])
+    def fields(cut: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [cut(row) for row in _sets(batch.column(0), width)]
+                yield pa.RecordBatch.from_arrays([_lists(rows), pa.array(np.ones(len(rows), np.int32))],
+                                                 names=["items", "weight"])
+
+        lists = docs.select("text").mapInArrow(run, "items array<long>, weight int")
+        counted = frames.store(_counted(lists, groups), "repeated")
+        found = [_field(counted.filter(F.col("uses") >= least)) for least in REPEATED]
+        frames.discard(counted)
+        return found
+
+    def head(row: np.ndarray) -> np.ndarray:
+        return row[: _first(row, percent) * 3 // 2].copy()
 
-    lists = docs.select("text").mapInArrow(cut, "items array<long>, weight int")
-    counted = frames.store(_counted(lists, groups).filter(F.col("uses") >= FREQUENT[0]), "frequent")
-    return [_field(counted.filter(F.col("uses") >= least)) for least in FREQUENT]
+    among_first = fields(head)
+
+    def whole_if_repeated(row: np.ndarray) -> np.ndarray:
+        unrepeated = np.count_nonzero(~_in_field(among_first[0], head(row)))
+        return row if unrepeated < _first(row, percent) else row[:0]
+
+    return among_first + fields(whole_if_repeated)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -149,7 +171,7 @@ def _differing(one: bytes, two: bytes) -> int:
     return (short ^ long).bit_count()
 
 
-def signatures(docs: DataFrame, frequent: list[np.ndarray], width: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, repeated: list[np.ndarray], width: int, percent: int) -> DataFrame:
     """Size, digests of set and prefix, the prefix's shingles, and the set's bit field."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +186,8 @@ def signatures(docs: DataFrame, frequent: list[np.ndarray], width: int, percent:
                 if n:
                     one[i] = arrays.mix(row).sum()
                     two[i] = np.bitwise_xor.reduce(arrays.mix(row + np.uint64(1)))
-                    level = sum(_in_field(field, row).astype(np.int8) for field in frequent)
                     # Ascending hashes, so a stable sort by level orders by (level, hash).
-                    prefix = row[np.argsort(level, kind="stable")][: _first(row, percent)]
+                    prefix = row[np.argsort(_level(row, repeated), kind="stable")][: _first(row, percent)]
                     group[i] = arrays.mix(prefix + np.uint64(2)).sum()
                     prefixes.append(prefix)
                 else:
@@ -181,26 +202,33 @@ def signatures(docs: DataFrame, frequent: list[np.ndarray], width: int, percent:
 
 
 def _field(keys: DataFrame) -> np.ndarray:
-    """A bit field of fixed size with the bit of every key set; at most 2**21 words are collected.
+    """A bit field of fixed size (8 MB) with the bit of every key set, put together by chunks.
 
     Scans use it to pass over rows that have no match. It may let others through,
     never hold one back, so an exact join follows.
     """
-    bits = 1 << FILTER_BITS
+    chunk = 1 << 19
+
+    def draw(rows: pa.Table) -> pa.Table:
+        slots = rows.column("slot").to_numpy()
+        flags = np.zeros(chunk, np.uint8)
+        flags[slots % chunk] = 1
+        return pa.table({"part": [int(slots[0]) // chunk], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
     found = (
-        keys.select(F.expr(f"shiftrightunsigned(key, {64 - FILTER_BITS})").alias("slot"))
-        .groupBy(F.expr("cast(slot div 32 as int)").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
-        .toPandas()
+        keys.select(F.expr(f"shiftrightunsigned(key, {64 - FILTER_BITS})").alias("slot")).distinct()
+        .groupBy(F.expr(f"slot div {chunk}").alias("part")).applyInArrow(draw, "part long, bits binary").collect()
     )
-    field = np.zeros(bits >> 5, np.uint32)
-    field[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    field = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
+    for row in found:
+        at = row["part"] * (chunk >> 3)
+        field[at : at + (chunk >> 3)] = np.frombuffer(row["bits"], np.uint8)
     return field
 
 
 def _in_field(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
     slot = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-    return (field[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+    return (field[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _postings(signed: DataFrame, anchors: DataFrame, groups: int) -> DataFrame:
@@ -244,7 +272,7 @@ def _postings(signed: DataFrame, anchors: DataFrame, groups: int) -> DataFrame:
 
 
 def _bucket(n: Column, percent: int) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent) / 4)).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent))).cast("int")
 
 
 def _index(postings: DataFrame, percent: int) -> DataFrame:
@@ -320,8 +348,8 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = frames.texts(docs, F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     groups = max(16, docs.count() // ROWS_A_GROUP)
-    frequent = frequent_shingles(docs, width, percent, groups)
-    signed = frames.store(signatures(docs, frequent, width, percent), "signatures")
+    repeated = repeated_shingles(docs, width, percent, groups)
+    signed = frames.store(signatures(docs, repeated, width, percent), "signatures")
     usable = signed.filter("n > 0 and doc_id is not null")
     classes = frames.store(usable.groupBy("n", "one", "two").agg(
         F.min("doc_id").alias("node"), F.min("group").alias("group"), F.count("*").alias("rows")), "classes")
