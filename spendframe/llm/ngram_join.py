@@ -48,7 +48,7 @@ WIDTH = 5
 PERCENT = 80
 #: Shingles found so often come later and later in the order.
 REPEATED = (2, 16, 256)
-FILTER_BITS = 26
+MAX_FIELD_BITS = 27
 #: Rows whose shingles are counted by one group.
 ROWS_A_GROUP = 128
 PARITY_BITS = 256
@@ -202,12 +202,14 @@ def signatures(docs: DataFrame, repeated: list[np.ndarray], width: int, percent:
 
 
 def _field(keys: DataFrame) -> np.ndarray:
-    """A bit field of fixed size (8 MB) with the bit of every key set, put together by chunks.
+    """A bit field with the bit of every key set, put together by chunks.
 
-    Scans use it to pass over rows that have no match. It may let others through,
-    never hold one back, so an exact join follows.
+    It has about 16 bits a key, and ``MAX_FIELD_BITS`` (16 MB) at most. Scans use it to
+    pass over rows that have no match. It may let others through, more of them once it
+    is at its bound, and never holds one back; an exact join follows.
     """
-    chunk = 1 << 19
+    bits = min(MAX_FIELD_BITS, max(16, (8 * keys.count()).bit_length()))
+    chunk = 1 << min(bits, 19)
 
     def draw(rows: pa.Table) -> pa.Table:
         slots = rows.column("slot").to_numpy()
@@ -216,10 +218,10 @@ def _field(keys: DataFrame) -> np.ndarray:
         return pa.table({"part": [int(slots[0]) // chunk], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
     found = (
-        keys.select(F.expr(f"shiftrightunsigned(key, {64 - FILTER_BITS})").alias("slot")).distinct()
+        keys.select(F.expr(f"shiftrightunsigned(key, {64 - bits})").alias("slot")).distinct()
         .groupBy(F.expr(f"slot div {chunk}").alias("part")).applyInArrow(draw, "part long, bits binary").collect()
     )
-    field = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
+    field = np.zeros((1 << bits) >> 3, np.uint8)
     for row in found:
         at = row["part"] * (chunk >> 3)
         field[at : at + (chunk >> 3)] = np.frombuffer(row["bits"], np.uint8)
@@ -227,7 +229,7 @@ def _field(keys: DataFrame) -> np.ndarray:
 
 
 def _in_field(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    slot = keys.view(np.uint64) >> np.uint64(64 - (len(field) * 8 - 1).bit_length())
     return (field[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -321,7 +323,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 
     Sets are made again from the texts of the ids concerned only.
     """
-    field = _field(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("key")))
+    field = _field(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("key")).distinct())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
