@@ -49,8 +49,10 @@ PERCENT = 80
 #: Shingles found so often come later and later in the order.
 REPEATED = (2, 16, 256)
 MAX_FIELD_BITS = 27
-#: Rows whose shingles are counted by one group.
-ROWS_A_GROUP = 128
+#: Rows whose shingles are counted by one group, the most groups, and shingles packed at a time.
+ROWS_A_GROUP = 1024
+MOST_GROUPS = 1 << 16
+PACKED = 1 << 20
 PARITY_BITS = 256
 
 
@@ -70,26 +72,35 @@ def _counted(lists: DataFrame, groups: int) -> DataFrame:
     it, and packs them by hash range. A group then adds up the packs of its range.
     """
 
+    def packed(waiting: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, weights = (np.concatenate(column) for column in zip(*waiting, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+        uses = np.minimum(np.add.reduceat(weights[order], starts), 65535).astype(np.uint16)
+        keys = keys[starts]
+        part = (keys >> np.uint64(44)).astype(np.int64) * groups >> 20
+        bounds = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys)).tolist()
+        ranges = list(zip(bounds[:-1], bounds[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[bounds[:-1]]), pa.array([keys[i:j].tobytes() for i, j in ranges], pa.binary()),
+             pa.array([uses[i:j].tobytes() for i, j in ranges], pa.binary())], names=["part", "keys", "uses"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             column = batch.column(0)
             keys = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            weights = np.repeat(batch.column(1).to_numpy(zero_copy_only=False),
-                                column.value_lengths().to_numpy(zero_copy_only=False))
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-            uses = np.add.reduceat(weights[order], starts) if len(starts) else weights[:0]
-            keys = keys[starts]
-            part = (keys >> np.uint64(44)).astype(np.int64) * groups >> 20
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            bounds = np.append(cuts, len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts]),
-                 pa.array([keys[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                 pa.array([np.minimum(uses[i:j], 65535).astype(np.uint16).tobytes()
-                           for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
-                names=["part", "keys", "uses"])
+            if len(keys):
+                waiting.append((keys, np.repeat(batch.column(1).to_numpy(zero_copy_only=False),
+                                                column.value_lengths().to_numpy(zero_copy_only=False))))
+                held += len(keys)
+            if held >= PACKED:
+                yield packed(waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield packed(waiting)
 
     def add(packs: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(packs.column("keys").to_pylist()), np.uint64)
@@ -101,8 +112,8 @@ def _counted(lists: DataFrame, groups: int) -> DataFrame:
         often = sums > 1
         return pa.table({"key": keys[starts][often].view(np.int64), "uses": sums[often]})
 
-    packed = lists.mapInArrow(pack, "part long, keys binary, uses binary")
-    return packed.groupBy("part").applyInArrow(add, "key long, uses long")
+    packs = lists.mapInArrow(pack, "part long, keys binary, uses binary")
+    return packs.groupBy("part").applyInArrow(add, "key long, uses long")
 
 
 def _first(row: np.ndarray, percent: int) -> int:
@@ -349,7 +360,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
                           text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = frames.texts(docs, F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    groups = max(16, docs.count() // ROWS_A_GROUP)
+    groups = min(MOST_GROUPS, max(16, docs.count() // ROWS_A_GROUP))
     repeated = repeated_shingles(docs, width, percent, groups)
     signed = frames.store(signatures(docs, repeated, width, percent), "signatures")
     usable = signed.filter("n > 0 and doc_id is not null")

@@ -128,7 +128,6 @@ class Forest:
 
     def score(self, points: np.ndarray) -> np.ndarray:
         """Anomaly score between 0 and 1 of each point; higher is more unusual."""
-        total = np.zeros(len(points))
         # Clean rows share the point of no excess, so that each different point is walked once.
         unique, place = np.unique(points, axis=0, return_inverse=True)
         lengths = np.zeros(len(unique))
