@@ -65,15 +65,16 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from arrays.distinct(*arrays.windows(hashes, arrays.firsts(begins, rows), width))
 
 
-def _counted(lists: DataFrame, groups: int) -> DataFrame:
-    """Columns key and uses: how often each shingle occurs in a column of lists, with weights.
+def _counted(rows: DataFrame, listed: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, int]]], groups: int) -> DataFrame:
+    """Columns key and uses: how often each shingle occurs in the lists that ``listed`` makes, with weights.
 
     Each task sums up its own shingles first, so a frequent one is a single entry of
     it, and packs them by hash range. A group then adds up the packs of its range.
     """
 
-    def packed(waiting: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, weights = (np.concatenate(column) for column in zip(*waiting, strict=True))
+    def packed(waiting: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        keys = np.concatenate([keys for keys, _ in waiting])
+        weights = np.repeat(np.array([weight for _, weight in waiting]), [len(keys) for keys, _ in waiting])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
@@ -86,19 +87,18 @@ def _counted(lists: DataFrame, groups: int) -> DataFrame:
             [pa.array(part[bounds[:-1]]), pa.array([keys[i:j].tobytes() for i, j in ranges], pa.binary()),
              pa.array([uses[i:j].tobytes() for i, j in ranges], pa.binary())], names=["part", "keys", "uses"])
 
+    # Lists are made and packed by one function: two in a row would be two workers for each task.
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, int]] = []
         held = 0
         for batch in batches:
-            column = batch.column(0)
-            keys = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            if len(keys):
-                waiting.append((keys, np.repeat(batch.column(1).to_numpy(zero_copy_only=False),
-                                                column.value_lengths().to_numpy(zero_copy_only=False))))
-                held += len(keys)
-            if held >= PACKED:
-                yield packed(waiting)
-                waiting, held = [], 0
+            for keys, weight in listed(batch):
+                if len(keys):
+                    waiting.append((keys, weight))
+                    held += len(keys)
+                if held >= PACKED:
+                    yield packed(waiting)
+                    waiting, held = [], 0
         if waiting:
             yield packed(waiting)
 
@@ -112,7 +112,7 @@ def _counted(lists: DataFrame, groups: int) -> DataFrame:
         often = sums > 1
         return pa.table({"key": keys[starts][often].view(np.int64), "uses": sums[often]})
 
-    packs = lists.mapInArrow(pack, "part long, keys binary, uses binary")
+    packs = rows.mapInArrow(pack, "part long, keys binary, uses binary")
     return packs.groupBy("part").applyInArrow(add, "key long, uses long")
 
 
@@ -134,14 +134,10 @@ def repeated_shingles(docs: DataFrame, width: int, percent: int, groups: int) ->
     """
 
     def fields(cut: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [cut(row) for row in _sets(batch.column(0), width)]
-                yield pa.RecordBatch.from_arrays([_lists(rows), pa.array(np.ones(len(rows), np.int32))],
-                                                 names=["items", "weight"])
-
-        lists = docs.select("text").mapInArrow(run, "items array<long>, weight int")
-        counted = frames.store(_counted(lists, groups), "repeated")
+        def listed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+            return ((cut(row), 1) for row in _sets(batch.column(0), width))
+
+        counted = frames.store(_counted(docs.select("text"), listed, groups), "repeated")
         found = [_field(counted.filter(F.col("uses") >= least)) for least in REPEATED]
         frames.discard(counted)
         return found
@@ -255,15 +251,14 @@ def _postings(signed: DataFrame, anchors: DataFrame, groups: int) -> DataFrame:
     rows = signed.filter("n > 0 and doc_id is not null").select(
         F.xxhash64("doc_id").alias("key"), "n", "group", F.col("doc_id").alias("node"), "prefix")
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            weight = pa.array(1 + _in_field(mixed, key).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(1), weight], names=["items", "weight"]).filter(
-                pa.array(_in_field(chosen, key)))
+    def weighed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        batch = batch.filter(pa.array(_in_field(chosen, batch.column(0).to_numpy(zero_copy_only=False))))
+        weights = 1 + _in_field(mixed, batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+        values = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return zip(np.split(values, ends[:-1]), weights.tolist(), strict=True) if len(batch) else iter(())
 
-    lists = rows.select("key", "prefix").mapInArrow(weigh, "items array<long>, weight int")
-    shared = frames.store(_counted(lists, groups).select("key"), "shared")
+    shared = frames.store(_counted(rows.select("key", "prefix"), weighed, groups).select("key"), "shared")
     field = _field(shared)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
