@@ -421,9 +421,34 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those of a component that has a smaller id."""
-    found = similarity_components(docs, width, percent)
-    gone = frames.store(
-        found.filter("component_id != doc_id").select("doc_id").distinct(), "copies")
-    left = docs.alias("kept")
-    return left.join(frames.small_or_plain(gone).alias("gone"), F.col("kept.doc_id") == F.col("gone.doc_id"), "left_anti")
+    """One row of each component of ``docs``: the one of the smallest id, nulls last, then of the smallest digest.
+
+    A node is an id, null or not, with a digest of its text, so an id with two texts is
+    two nodes and rows without an id are compared like others. Nodes are named by 64-bit
+    hashes. Of rows of one node one stays, the first by its other columns.
+    """
+    content = frames.content_key("text")
+    node = F.xxhash64(F.col("doc_id").isNull(), "doc_id", content)
+    found = similarity_components(docs.select(node.alias("doc_id"), "text"), width, percent)
+    keys = frames.store(
+        docs.select(node.alias("node"), "doc_id", content.alias("content"))
+        .groupBy("node", "doc_id", "content").agg(F.count("*").alias("rows")), "keys")
+    linked = frames.store(
+        found.filter("component_id != doc_id")
+        .select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct(), "linked")
+    named = linked.union(linked.select(F.col("component").alias("node"), "component").distinct()).join(keys, "node")
+    first = named.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content", "node")).alias("first")).select("first.node")
+    copies = frames.store(named.join(first, "node", "left_anti").select("node", "doc_id", "content"), "copies")
+    again = frames.store(
+        keys.filter("rows > 1").join(copies.select("node"), "node", "left_anti").select("node", "doc_id", "content"), "again")
+    gone = copies.union(again).select(F.col("doc_id").alias("gone_id"), F.col("content").alias("gone_key"))
+    left = frames.without(docs, gone)
+    if again.isEmpty():
+        return left
+    repeated = frames.small_or_plain(again.select(F.col("doc_id").alias("again_id"), F.col("content").alias("again_key")))
+    rows = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("again_id")) & content.eqNullSafe(F.col("again_key")), "left_semi")
+    others = F.to_json(F.struct(*[F.col(f"`{name}`") for name in docs.columns if name != "text"]))
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    kept = rows.groupBy(F.col("doc_id").alias("again_id"), content.alias("again_key")).agg(F.min_by(whole, others).alias("row"))
+    return left.unionByName(kept.select("row.*"))

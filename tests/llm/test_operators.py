@@ -75,6 +75,24 @@ def test_components_match_all_pairs(spark, docs, width, percent):
     assert Counter(map(tuple, found)) == wanted
 
 
+def test_one_row_of_each_component_stays(spark):
+    near = prose(30, 300)
+    nearly = near.replace(near.split()[150], "changed", 1)
+    rows = [(1, LONG, "b"), (1, LONG, "a"), (2, EDITED, "x"), (None, LONG, "x"),  # copies of 1
+            (3, prose(31, 200), "x"), (3, LONG, "x"),  # one id, two texts, one of them a copy
+            (None, near, "x"), (None, nearly, "x"), (None, nearly, "x"),  # copies without an id
+            (None, prose(32, 200), "y"), (None, prose(32, 200), "x"),  # equal rows without an id
+            (None, prose(33, 200), "x"), (4, prose(33, 200), "x"), (5, prose(34, 200), "x"), (9, "", "x"), (10, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = Counter(map(tuple, kept.collect()))
+    assert found[None, near, "x"] + found[None, nearly, "x"] == 1
+    assert Counter({row: n for row, n in found.items() if row[1] not in (near, nearly)}) == Counter(
+        [(1, LONG, "a"), (3, prose(31, 200), "x"), (None, prose(32, 200), "x"), (4, prose(33, 200), "x"),
+         (5, prose(34, 200), "x"), (9, "", "x"), (10, None, "x")])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab \n\x0bé!A|", max_size=40), min_size=1, max_size=8))
 def test_rule_counts(texts):
