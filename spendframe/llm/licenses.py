@@ -1,15 +1,19 @@
-"""License scans: an exact set-similarity join of text lines with license templates.
-
-A block is a line of a text, as the set of its words (A-Z as a-z). It meets a template
-when it contains at least ``percent`` of the template's words.
-
-1. The frequency of every template word is counted over all lines; rarer words come
-   first in a global order, ties by name. Words of no template cannot match and are
-   left out of the blocks.
-2. To contain c words of a template of n, a block must have one of the template's first
-   n - c + 1 words in that order. Only lines with such a word go on.
-3. For each word that block and template share in their prefixes, length and place
+"""License scans: an exact set-similarity join of parts of texts with license templates.
+
+A block is a line of a text, or a run of words across line breaks that is ``SPREAD``
+times as long as the template, as the set of its words (A-Z as a-z). It meets a template
+when it contains at least ``percent`` of the template's words. Runs find notices that
+are wrapped, at any width and with some words between.
+
+1. A text has at least the words of each of its blocks. The frequency of every template
+   word is counted over all texts; rarer words come first in a global order, ties by
+   name. Words of no template cannot match and are left out.
+2. To contain c words of a template of n, a text must have one of the template's first
+   n - c + 1 words in that order. Only texts with such a word go on.
+3. For each word that text and template share in their prefixes, length and place
    have to leave room for c common words. What is left is verified on whole sets.
+4. The texts that hold c words are read again for their blocks: all lines, and the run
+   from each template word on, since a run that meets can be moved to its first one.
 
 All steps are DataFrame expressions. What is broadcast is made of the templates alone.
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from spendframe.llm import frames
 
 PERCENT = 90
+#: A run across line breaks has so many times the words of its template.
+SPREAD = 2
 #: Runs of digits, letters and everything beyond ASCII; in lower case, and in any case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,8 +64,12 @@ def lower_ascii(text: Column) -> Column:
     return F.when(odd, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
+def _words_of(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+
+
 def word_set(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)))
+    return F.array_distinct(_words_of(lower_ascii(text)))
 
 
 def _phrase_pattern() -> str:
@@ -67,15 +77,14 @@ def _phrase_pattern() -> str:
     return f"(?<!{WORD[:-1]})(?:{inner})(?!{WORD[:-1]})"
 
 
+def _in_order(text: str) -> list[str]:
+    low = "".join(c.lower() if c in _UPPER else c for c in text)
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in low).split()
+
+
 def template_words(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str]]]:
     """Label and different words of each template that has words."""
-    found = []
-    for label, text in templates:
-        low = "".join(c.lower() if c in _UPPER else c for c in text)
-        kept = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in low)
-        if kept.split():
-            found.append((label, sorted(set(kept.split()))))
-    return found
+    return [(label, sorted(set(_in_order(text)))) for label, text in templates if _in_order(text)]
 
 
 def _values(spark, rows: list[str], columns: str) -> DataFrame:
@@ -87,17 +96,18 @@ def _quoted(words: list[str]) -> str:
 
 
 def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """Columns doc_id, content, label and containment, a row for each block and template that meet.
+    """Columns doc_id, content, label and containment, a row for each row and template that meet.
 
-    ``docs`` has doc_id, content (the digest of the text) and text.
+    ``docs`` has doc_id, content (the digest of the text) and text. The containment is
+    that of the best block.
     """
     spark = docs.sparkSession
     known = template_words(templates)
+    runs = [SPREAD * len(_in_order(text)) for _, text in templates if _in_order(text)]
     vocabulary = sorted({word for _, words in known for word in words})
-    lines = docs.select("doc_id", "content", F.explode(F.split("text", "\n")).alias("line")).select(
-        "doc_id", "content", word_set(F.col("line")).alias("words"))
+    whole = docs.select("doc_id", "content", word_set(F.col("text")).alias("words"))
     shared = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    counted = lines.select(F.explode(shared).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    counted = whole.select(F.explode(shared).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     times = {row["word"]: row["n"] for row in counted}
     order = {word: place for place, word in enumerate(sorted(vocabulary, key=lambda w: (times.get(w, 0), w)))}
 
@@ -107,16 +117,16 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
         words = sorted(words, key=order.__getitem__)
         needed = -(-percent * len(words) // 100)
         least_needed = needed if least_needed is None else min(needed, least_needed)
-        sets.append(f"({number}, '{label}', {needed}, {_quoted(words)})")
+        sets.append(f"({number}, '{label}', {needed}, {runs[number]}, {_quoted(words)})")
         for place, word in enumerate(words[: len(words) - needed + 1]):
             rare.add(word)
             index.append(f"({order[word]}, {number}, {place}, {len(words)}, {needed})")
     prefixes = _values(spark, index, "rank, template, place, size, needed")
-    wholes = _values(spark, sets, "number, label, least, template_words")
+    wholes = _values(spark, sets, "number, label, least, run, template_words")
     ranks = F.array(*[F.lit(word) for word in sorted(order, key=order.__getitem__)])
 
     blocks = (
-        lines.filter(F.arrays_overlap("words", F.array(*map(F.lit, sorted(rare)))))
+        whole.filter(F.arrays_overlap("words", F.array(*map(F.lit, sorted(rare)))))
         # Words in the global order: an intersection keeps the order of its first side.
         .withColumn("block", F.array_intersect(ranks, "words"))
         .withColumn("length", F.size("block"))
@@ -130,9 +140,35 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
         .filter((F.col("length") >= F.col("needed")) & (F.least(F.col("length") - F.col("at"), F.col("size") - F.col("place")) >= F.col("needed")))
         .select("doc_id", "content", "block", "template")
     )
-    verified = pairs.join(F.broadcast(wholes), F.col("template") == F.col("number")).withColumn(
-        "common", F.size(F.array_intersect("block", "template_words"))).filter("common >= least")
-    return verified.select("doc_id", "content", "label", (F.col("common") / F.size("template_words")).alias("containment"))
+    held = pairs.join(F.broadcast(wholes), F.col("template") == F.col("number")).filter(
+        F.size(F.array_intersect("block", "template_words")) >= F.col("least"))
+    asked = frames.store(
+        held.groupBy(F.col("doc_id").alias("asked_id"), F.col("content").alias("asked_key"))
+        .agg(F.collect_set("template").alias("asked")), "licensed")
+
+    low = lower_ascii(F.col("text"))
+    again = (
+        docs.join(frames.small_or_plain(asked),
+                  F.col("doc_id").eqNullSafe(F.col("asked_id")) & F.col("content").eqNullSafe(F.col("asked_key")))
+        .select("doc_id", "content", F.transform(F.split(low, "\n"), lambda line: _words_of(line)).alias("lines"), "asked")
+        .select("*", F.flatten("lines").alias("words"))
+        .select("doc_id", "content", "lines", "words", F.explode("asked").alias("template"))
+        .join(F.broadcast(wholes), F.col("template") == F.col("number"))
+    )
+    on_a_line = F.array_max(F.transform("lines", lambda line: F.size(F.array_intersect(line, "template_words"))))
+    marked = F.transform("words", lambda word, at: F.struct(at.alias("at"), word.alias("word")))
+    placed = again.withColumn("placed", F.when(
+        F.size("lines") > 1, F.filter(marked, lambda one: F.array_contains("template_words", one["word"]))))
+
+    def in_run(first: Column, at: Column) -> Column:
+        near = F.filter(F.slice("placed", at + 1, F.col("run")), lambda one: one["at"] < first["at"] + F.col("run"))
+        return F.size(F.array_distinct(F.transform(near, lambda one: one["word"])))
+
+    in_a_run = F.array_max(F.transform("placed", in_run))
+    return (
+        placed.withColumn("common", F.greatest(on_a_line, in_a_run)).filter("common >= least")
+        .select("doc_id", "content", "label", (F.col("common") / F.size("template_words")).alias("containment"))
+    )
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT,

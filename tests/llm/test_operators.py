@@ -257,6 +257,22 @@ def test_license_edges(docs):
     assert licenses.scan(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("width", [1, 4, 9])
+def test_wrapped_license_notices(spark, width):
+    def wrapped(text):
+        words = text.split()
+        return "\n".join(" * " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    scattered = licenses.TEMPLATES[7][1].split()
+    rows = [(i, prose(i, 30) + "\n" + wrapped(text) + "\n" + prose(50 + i, 30)) for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    rows += [(50, "licensed under the terms of the\nGNU Lesser General\nPublic License"),
+             (51, "\n".join(f"{prose(i, 8)} {word}" for i, word in enumerate(scattered)))]
+    found = {row["doc_id"]: row for row in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == 1.0
+    assert "lgpl" in found[50]["labels"].split(",") and (found[51]["labels"], found[51]["score"]) == ("", 0.0)
+
+
 def test_ring_bounds_and_slots(spark, docs):
     many = spark.range(3001).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     rows = sharding.assign(many.union(docs.select("doc_id", "text"))).collect()
