@@ -2,8 +2,8 @@
 
 Each states the result directly, by counting and comparing everything, and not the way
 the operator finds it. Languages, contextual patterns, packing, ring walks, SimHash
-search, derived records and the isolation forest have no SQL here; tests compare them
-with brute force.
+search, derived records, the isolation forest and the toxicity model have no SQL here;
+tests compare them with brute force.
 """
 
 from __future__ import annotations
@@ -102,8 +102,55 @@ FROM cut c LEFT JOIN base b ON c.doc_id = b.doc_id LEFT JOIN met m ON c.doc_id =
 """
 
 
+_RANKED_SEARCH = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents
+), sized AS (SELECT r, doc_id, len(t) AS n FROM docs WHERE len(t) > 0
+), total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized
+), tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term
+), held AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), asked AS (
+  SELECT i, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY i, item_id, term
+), weighted AS (
+  SELECT i, item_id, term, times * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM asked JOIN held USING (term), total
+), scored AS (
+  SELECT i, item_id, s.r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + 25 * n * n_docs // n_terms)))) AS BIGINT) AS score
+  FROM weighted JOIN tf USING (term) JOIN sized s ON s.r = tf.r, total GROUP BY i, item_id, s.r, doc_id
+), placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM placed WHERE rank <= 20
+"""
+
+_HARD_NEGATIVES = """
+WITH given AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), used AS (SELECT r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM given
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM used a JOIN used b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) AS place FROM scored WHERE same)
+  WHERE place <= 5
+), near AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id NULLS LAST, n.r) AS INTEGER) AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+  WHERE 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM near WHERE rank <= 5
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_source_mixing": _MIXING,
     "op4_ngram_join": _NGRAM_JOIN,
     "op6_license_scan": _license_scan(),
+    "op11_ranked_search": _RANKED_SEARCH,
+    "op13_hard_negatives": _HARD_NEGATIVES,
 }

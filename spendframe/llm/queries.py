@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendframe.llm import (
-    decontamination, language, licenses, mixing, ngram_join, packing, private, quality, sharding, warc,
+    decontamination, hard_negatives, language, lexical, licenses, mixing, ngram_join, packing, private, quality, sharding,
+    toxicity, warc,
 )
 from spendframe.llm.frames import table
 
@@ -64,6 +65,19 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "base_failed", "kept", "score")
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     op1_language_id, op2_personal_data, op3_source_mixing, op4_ngram_join, op5_token_packing, op6_license_scan,
-    op7_ring_shards, op8_decontamination, op9_warc_derivatives, op10_quality_rules)}
+    op7_ring_shards, op8_decontamination, op9_warc_derivatives, op10_quality_rules, op11_ranked_search, op12_toxicity,
+    op13_hard_negatives)}

@@ -20,7 +20,7 @@ def test_query_matches_sql(name, spark, data, tables):
 @pytest.fixture(scope="module")
 def nothing(spark, data, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
