@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.functions.dates import as_timestamp
-from spendframe.functions.taxonomy import OTHER, TAXONOMY
 from spendframe.functions.values import DEFAULT_CURRENCY, currency_symbol, round2, settled
 from spendframe.operators.keyed import attach
 from spendframe.operators.patterns import anomaly_counts
@@ -36,34 +35,90 @@ def _currency(df: DataFrame) -> Column:
     return currency_symbol(rank, DEFAULT_CURRENCY)
 
 
+def ledger_cells(df: DataFrame, keys: Sequence[str] = (), dated: bool = True) -> DataFrame:
+    """One row per ledger whose ``cells`` hold what its rows come to, by category.
+
+    A cell can be merged with others: count, sum, mean and squared deviations (``m2``),
+    extremes, first and last date, lowest currency. Every figure of a ledger follows
+    from its cells, for whatever categories it has, so they are the one pass over its
+    rows. Rows are summed up by ledger and category before anything is shuffled; a ledger
+    with most of the rows is a few cells for each task. Without ``Category`` a ledger has
+    a single cell.
+
+    ``dated=False`` leaves the dates null, for figures that need none and spare their parsing.
+
+    As ``cells`` is one column, plans that use different figures of it are equal up to
+    here and Spark computes it once for all of them.
+    """
+    name = F.col("Category") if "Category" in df.columns else F.lit(None).cast("string")
+    rank = F.min("CurrencyRank") if "CurrencyRank" in df.columns else F.lit(None).cast("int")
+    rows = _dated(df if dated else df.select(*[f"`{column}`" for column in df.columns if column != "Date"]))
+    parts = rows.withColumn("_name", name).groupBy(*keys, "_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("Amt").alias("total"),
+        F.avg("Amt").alias("mean"),
+        (F.var_pop("Amt") * F.count(F.lit(1))).alias("m2"),
+        F.max("Amt").alias("highest"),
+        F.min(F.when(F.col("Amt") > 0, F.col("Amt"))).alias("lowest"),
+        F.min("_ts").alias("first"),
+        F.max("_ts").alias("last"),
+        rank.alias("rank"),
+    )
+    fields = [F.col("_name").alias("name"), "n", "total", "mean", "m2", "highest", "lowest", "first", "last", "rank"]
+    return parts.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("cells"))
+
+
+def _over_cells(field: str) -> Column:
+    return F.transform("cells", lambda cell: cell[field])
+
+
+def _summed(one: Callable[[Column], Column], kind: str = "double") -> Column:
+    """Sum over the cells; null without any."""
+    total = F.aggregate("cells", F.lit(0).cast(kind), lambda sofar, cell: sofar + one(cell))
+    return F.when(F.size("cells") > 0, total)
+
+
+def _rows() -> Column:
+    return F.coalesce(_summed(lambda cell: cell["n"], "bigint"), F.lit(0))
+
+
+def cell_limits(cells: DataFrame, keys: Sequence[str], sigmas: float) -> DataFrame:
+    """Rows and limit (mean and sample deviations) of each ledger, as ``anomalies`` takes them."""
+    mean = _summed(lambda cell: cell["total"]) / F.col("_rows")
+    apart = _summed(lambda cell: cell["m2"] + cell["n"] * F.pow(cell["mean"] - F.col("_mean"), F.lit(2.0)))
+    limit = F.when(F.col("_rows") > 1, F.col("_mean") + sigmas * F.sqrt(apart / (F.col("_rows") - 1)))
+    return cells.withColumn("_rows", _rows()).withColumn("_mean", mean).select(*keys, limit.alias("_limit"), "_rows")
+
+
 def ledger_metrics(df: DataFrame, keys: Sequence[str] = (),
                    categories: Sequence[str] | None = None) -> DataFrame:
-    """Everything about a ledger that one aggregate can give, in one pass and one shuffle.
+    """Everything about a ledger that its cells give.
 
-    ``categories`` (the taxonomy's by default) are summed side by side, so the
-    category figures need no second grouping. ``ranked`` lists the categories
-    present as ``struct(lost, name)`` with the largest sum first. A ledger table
-    without ``Category`` ranks its five largest descriptions instead.
+    ``ranked`` lists all categories present as ``struct(lost, name)`` with the largest
+    sum first, or only those in ``categories``. A ledger table without ``Category`` ranks
+    its five largest descriptions instead.
     """
-    aggregates = [
-        F.count(F.lit(1)).alias("transaction_count"),
-        settled(F.sum("Amt")).alias("total"),
-        F.max("Amt").alias("highest"),
-        F.coalesce(F.min(F.when(F.col("Amt") > 0, F.col("Amt"))), F.lit(0.0)).alias("lowest"),
-        _days().alias("days"),
-        _currency(df).alias("currency"),
+    return _metrics(df, ledger_cells(df, keys), keys, categories)
+
+
+def _metrics(df: DataFrame, cells: DataFrame, keys: Sequence[str],
+             categories: Sequence[str] | None) -> DataFrame:
+    elapsed = F.extract(F.lit("DAY"), F.array_max(_over_cells("last")) - F.array_min(_over_cells("first")))
+    figures = [
+        _rows().alias("transaction_count"),
+        settled(_summed(lambda cell: cell["total"])).alias("total"),
+        F.array_max(_over_cells("highest")).alias("highest"),
+        F.coalesce(F.array_min(_over_cells("lowest")), F.lit(0.0)).alias("lowest"),
+        F.when(elapsed > 0, elapsed).otherwise(F.lit(DEFAULT_DAYS)).alias("days"),
+        currency_symbol(F.array_min(_over_cells("rank")), DEFAULT_CURRENCY).alias("currency"),
     ]
     if "Category" in df.columns:
-        names = list(categories) if categories is not None else [*TAXONOMY, OTHER]
-        sums = [
-            F.struct(
-                (-settled(F.sum(F.when(F.col("Category") == name, F.col("Amt"))))).alias("lost"),
-                F.lit(name).alias("name"),
-            )
-            for name in names
-        ]
-        ranked = F.array_sort(F.filter(F.array(*sums), lambda one: one["lost"].isNotNull()))
-        metrics = _dated(df).groupBy(*keys).agg(*aggregates, ranked.alias("ranked"))
+        counted = F.filter("cells", lambda cell: cell["total"].isNotNull())
+        if categories is not None:
+            counted = F.filter(counted, lambda cell: cell["name"].isin(list(categories)))
+        ranked = F.array_sort(F.transform(counted, lambda cell: F.struct(
+            (-settled(cell["total"])).alias("lost"), cell["name"].alias("name"))))
+        metrics = cells.select(*keys, *figures, ranked.alias("ranked"))
     else:
         place = F.struct((-F.col("amount")).alias("lost"), F.col("Desc").alias("name"))
         largest = (
@@ -71,7 +126,7 @@ def ledger_metrics(df: DataFrame, keys: Sequence[str] = (),
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_list(place)).alias("ranked"))
         )
-        metrics = attach(_dated(df).groupBy(*keys).agg(*aggregates), largest, keys)
+        metrics = attach(cells.select(*keys, *figures), largest, keys)
     return (
         metrics.withColumn("burn", F.col("total") / F.col("days"))
         .withColumn("projection", F.col("burn") * PROJECTED_DAYS)
@@ -83,7 +138,8 @@ def ledger_metrics(df: DataFrame, keys: Sequence[str] = (),
 def top_category(df: DataFrame, keys: Sequence[str] = (),
                  categories: Sequence[str] | None = None) -> DataFrame:
     """Largest category, its percentage, its ratio to the second, and whether it is over half."""
-    return with_shares(ledger_metrics(df, keys, categories)).select(
+    metrics = _metrics(df, ledger_cells(df, keys, dated=False), keys, categories)
+    return with_shares(metrics).select(
         *keys, "top_category", "top_amount", "top_percent", "ratio", "concentrated"
     )
 
@@ -126,11 +182,14 @@ def _score(has_categories: bool) -> Column:
 
 
 def scored_metrics(df: DataFrame, keys: Sequence[str] = (),
-                   categories: Sequence[str] | None = None, sigmas: float = 2.5) -> DataFrame:
-    """:func:`ledger_metrics` with the number of anomalies and the health score."""
-    metrics = attach(
-        ledger_metrics(df, keys, categories), anomaly_counts(df, keys, sigmas), keys
-    )
+                   categories: Sequence[str] | None = None, sigmas: float = 2.5, dated: bool = True) -> DataFrame:
+    """:func:`ledger_metrics` with the number of anomalies and the health score.
+
+    Figures and limits come from the same cells; one more pass counts what is above.
+    """
+    cells = ledger_cells(df, keys, dated)
+    limits = cell_limits(cells, keys, sigmas)
+    metrics = attach(_metrics(df, cells, keys, categories), anomaly_counts(df, keys, sigmas, limits), keys)
     return metrics.withColumn("anomalies", F.coalesce(F.col("anomalies"), F.lit(0))).withColumn(
         "score", _score("Category" in df.columns)
     )
@@ -139,7 +198,7 @@ def scored_metrics(df: DataFrame, keys: Sequence[str] = (),
 def health_score(df: DataFrame, keys: Sequence[str] = (),
                  categories: Sequence[str] | None = None) -> DataFrame:
     """100, less 20 if one category is over half, less 5 per anomaly, within 10 and 100."""
-    return scored_metrics(df, keys, categories).select(*keys, "anomalies", "score")
+    return scored_metrics(df, keys, categories, dated=False).select(*keys, "anomalies", "score")
 
 
 def affordable(projection: Column, price: float | Column, rule: str = "half") -> Column:

@@ -51,9 +51,12 @@ def _limit(sigmas: float) -> Column:
     )
 
 
-def anomalies(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5) -> DataFrame:
+def anomalies(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5,
+              limits: DataFrame | None = None) -> DataFrame:
     """All rows above mean + 2.5 sample deviations of their ledger.
 
+    ``limits`` (the keys, ``_limit`` and ``_rows``) are computed here unless given.
+
     The limits need one pass; comparing the rows with them is a join on the
     ledger, whose cost would be a shuffle of every row with one large ledger in
     one task. Two broadcasts of a fixed number of rows prevent that:
@@ -66,12 +69,13 @@ def anomalies(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5) -> D
     Only rows that pass their slot's bound are shuffled and compared with the
     exact limit. Already settled rows ride along under a salt of their own.
     """
-    if not keys:
-        return df.filter(F.col("Amt") > df.agg(_limit(sigmas)).scalar())
     keys = list(keys)
-    limits = df.groupBy(*keys).agg(
-        _limit(sigmas).alias("_limit"), F.count(F.lit(1)).alias("_rows")
-    )
+    if limits is None:
+        limits = df.groupBy(*keys).agg(
+            _limit(sigmas).alias("_limit"), F.count(F.lit(1)).alias("_rows")
+        )
+    if not keys:
+        return df.filter(F.col("Amt") > limits.select("_limit").scalar())
 
     def slot() -> Column:
         # Never null, so the join puts no filter on this side and Spark can compute
@@ -101,10 +105,11 @@ def anomalies(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5) -> D
     )
 
 
-def anomaly_counts(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5) -> DataFrame:
+def anomaly_counts(df: DataFrame, keys: Sequence[str] = (), sigmas: float = 2.5,
+                   limits: DataFrame | None = None) -> DataFrame:
     """Number of anomalies per ledger; ledgers without any are absent when keyed."""
     return (
-        anomalies(df.select(*keys, "Amt"), keys, sigmas)
+        anomalies(df.select(*keys, "Amt"), keys, sigmas, limits)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("anomalies"))
     )

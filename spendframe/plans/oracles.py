@@ -5,7 +5,7 @@ from __future__ import annotations
 from spendframe.functions.taxonomy import OTHER, TAXONOMY
 from spendframe.functions.text import FILE_KINDS, OTHER_FILES
 from spendframe.functions.values import CURRENCY_LABELS, CURRENCY_SYMBOLS, NA_SPELLINGS
-from spendframe.plans.queries import PERIOD, PRICE
+from spendframe.plans.queries import OWN_TAXONOMY, PERIOD, PRICE
 from spendframe.plans.views import INVENTORY_SQL, LEDGER_SQL, OUTPUT_SQL
 
 
@@ -33,11 +33,15 @@ def _plain(expression: str) -> str:
     return f"cast({expression} AS varchar)"
 
 
-_CATEGORY = "CASE " + " ".join(
-    f"WHEN regexp_matches(lower(\"Desc\"), {_text(chr(92) + 'b(' + '|'.join(words) + ')' + chr(92) + 'b')})"
-    f" THEN {_text(name)}"
-    for name, words in TAXONOMY.items()
-) + f" ELSE {_text(OTHER)} END"
+def _category(taxonomy: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(
+        f"WHEN regexp_matches(lower(\"Desc\"), {_text(chr(92) + 'b(' + '|'.join(words) + ')' + chr(92) + 'b')})"
+        f" THEN {_text(name)}"
+        for name, words in taxonomy.items()
+    ) + f" ELSE {_text(OTHER)} END"
+
+
+_CATEGORY = _category(TAXONOMY)
 
 _RANK = "CASE " + " ".join(
     f"WHEN contains(lower(raw_amt), {_text(symbol.lower())}) THEN {index}"
@@ -50,6 +54,11 @@ _SYMBOL = "CASE min(rank) " + " ".join(
 
 _AMOUNT = r"coalesce(try_cast(regexp_replace(raw_amt, '[^0-9.\-]', '', 'g') AS double), 0)"
 
+_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%m/%d/%y", "%m/%d/%Y", "%m-%d-%Y", "%Y.%m.%d", "%Y%m%dT%H%M%S",
+            "%d %b %y", "Mon, %d %b %Y", "%b %Y", "%m/%d/%Y %I:%M %p", "%Y-%m", "%b %d, %Y"]
+_DATE = "coalesce(" + ", ".join(f"""try_strptime("Date", '{style}')""" for style in _FORMATS) + """,
+  try_strptime("Date", '%Y-%m-%dT%H:%M:%S+02') - INTERVAL 2 HOUR)"""
+
 LEDGER = f"""
 WITH led AS ({LEDGER_SQL.format(S="varchar")}),
 known AS (SELECT event_id, user_id, value,
@@ -59,9 +68,7 @@ known AS (SELECT event_id, user_id, value,
 clean AS (SELECT event_id, user_id, value, raw_desc, raw_amt, "Date",
   CASE WHEN raw_desc IS NULL OR trim(raw_desc) = '' THEN 'Unknown' ELSE raw_desc END AS "Desc",
   {_AMOUNT} AS "Amt", {_RANK} AS rank FROM known),
-ledger AS (SELECT *, {_CATEGORY} AS "Category", coalesce(
-    try_strptime("Date", '%Y-%m-%d %H:%M:%S'), try_strptime("Date", '%Y-%m-%d'),
-    try_strptime("Date", '%m/%d/%Y')) AS date_ts FROM clean)
+ledger AS (SELECT *, {_CATEGORY} AS "Category", {_DATE} AS date_ts FROM clean)
 """
 
 _DAYS = "CASE WHEN date_sub('day', min(date_ts), max(date_ts)) > 0 THEN date_sub('day', min(date_ts), max(date_ts)) ELSE 30 END"
@@ -168,6 +175,10 @@ def _ledger(select: str) -> str:
     return LEDGER + select
 
 
+def _own(sql: str) -> str:
+    return sql.replace(_CATEGORY, _category(OWN_TAXONOMY))
+
+
 _USER = "k AS user_id, "
 
 _KIND = "CASE " + " ".join(
@@ -245,6 +256,10 @@ _STATS = f"""{_four('sum("Amt")')} AS total, {_four('avg("Amt")')} AS mean,
 
 ORACLES: dict[str, str] = {
     "normalize_ledger": _ledger('SELECT event_id, "Date", "Desc", "Amt", "Category" FROM ledger'),
+    "normalize_sparse_ledger": _ledger(
+        'SELECT "Date", "Desc", "Amt", \'€\' AS currency FROM ledger WHERE event_id % 10 <> 0 '
+        'AND NOT ("Date" IS NULL AND raw_desc IS NULL AND raw_amt IS NULL)'
+    ),
     "categorize_totals": _ledger(
         f'SELECT "Category", {_four("""sum("Amt")""")} AS amount FROM ledger GROUP BY "Category"'
     ),
@@ -257,6 +272,8 @@ FROM sums JOIN whole USING (user_id)"""),
     "top_category_by_user": _metrics("user_id") + f"""
 SELECT {_USER}top_category, {_four('top_amount')} AS top_amount, {_four('top_percent')} AS top_percent,
   {_four('ratio')} AS ratio, top_percent > 50 AS concentrated FROM metrics""",
+    "prediction_own_taxonomy_by_user": _own(_prediction("user_id", _USER)),
+    "report_own_taxonomy": _own(_report("1", "")),
     "recurring_charges": _ledger(
         'SELECT "Desc", "Amt", count(*) AS count FROM ledger GROUP BY ALL HAVING count(*) >= 2'
     ),
@@ -378,3 +395,4 @@ FROM conversations JOIN pairs ON conv_id // 2 = merge_id""",
     "sequence_split_at": _SPLIT.format("least(4, total)"),
     "data_url": "SELECT page_id, 'data:text/html;base64,' || to_base64(encode(html)) AS url FROM pages",
 }
+ORACLES["top_category_own_taxonomy_by_user"] = _own(ORACLES["top_category_by_user"])

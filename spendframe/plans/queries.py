@@ -19,6 +19,9 @@ from spendframe.plans.report import report_lines
 USER = ["user_id"]
 PRICE = 250.0
 PERIOD = "January 2024"
+#: Categories of a caller's own, in place of the library's.
+OWN_TAXONOMY = {"Rides": ["uber", "lyft"], "Coffee & Tea": ["starbucks", "tea"], "Home": ["bill", "pharmacy", "rent"],
+                "Income": ["salary"]}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +36,8 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: _four(name) for name in names})
 
 
-def _ledger(spark: SparkSession, folder: str, *keys: str, drop_empty: bool = False) -> DataFrame:
+def _ledger(spark: SparkSession, folder: str, *keys: str, drop_empty: bool = False,
+            taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
     """The messy ledger, its roles found from the headers."""
     raw = views.raw_ledger(spark, folder).select(
         *keys,
@@ -41,7 +45,7 @@ def _ledger(spark: SparkSession, folder: str, *keys: str, drop_empty: bool = Fal
         F.col("raw_desc").alias("Payee"),
         F.col("raw_amt").alias("Debit"),
     )
-    return load_table(raw, keys, drop_empty=drop_empty)
+    return load_table(raw, keys, taxonomy=taxonomy, drop_empty=drop_empty)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +57,20 @@ def normalize_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.select("event_id", "Date", "Desc", "Amt", "Category")
 
 
+def normalize_sparse_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """A ledger with empty rows, an empty date column ahead of the filled one, and a currency header."""
+    given = F.col("event_id") % 10 != 0
+    raw = views.raw_ledger(spark, folder).select(
+        F.when(F.col("event_id") < 0, F.col("raw_date")).alias("Old Date"),
+        F.when(given, F.col("raw_date")).alias("New Date"),
+        F.when(given, F.col("raw_desc")).alias("Merchant"),
+        F.when(given, F.col("raw_amt")).alias("Paid (€)"),
+    )
+    ledger = load_table(raw)
+    currency = outlook.detect_currency(ledger).first()["currency"]
+    return ledger.select("Date", "Desc", "Amt", F.lit(currency).alias("currency"))
+
+
 def categorize_totals(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(totals.category_totals(_ledger(spark, folder)), "amount")
 
@@ -68,6 +86,15 @@ def top_category_by_user(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(top, "top_amount", "top_percent", "ratio")
 
 
+def top_category_own_taxonomy_by_user(spark: SparkSession, folder: str) -> DataFrame:
+    top = outlook.top_category(_ledger(spark, folder, *USER, taxonomy=OWN_TAXONOMY), USER)
+    return _rounded(top, "top_amount", "top_percent", "ratio")
+
+
+def prediction_own_taxonomy_by_user(spark: SparkSession, folder: str) -> DataFrame:
+    return outlook.predict(_ledger(spark, folder, *USER, taxonomy=OWN_TAXONOMY), USER, PRICE)
+
+
 def recurring_charges(spark: SparkSession, folder: str) -> DataFrame:
     return patterns.recurring_charges(_ledger(spark, folder))
 
@@ -186,6 +213,10 @@ def report_by_user(spark: SparkSession, folder: str) -> DataFrame:
     return report_lines(_ledger(spark, folder, *USER), USER, period=PERIOD)
 
 
+def report_own_taxonomy(spark: SparkSession, folder: str) -> DataFrame:
+    return report_lines(_ledger(spark, folder, taxonomy=OWN_TAXONOMY), period=PERIOD)
+
+
 def file_classify(spark: SparkSession, folder: str) -> DataFrame:
     return files.classify(views.inventory(spark, folder)).select("path", "name", "ext", "category")
 
@@ -292,9 +323,12 @@ def page_data_url(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "normalize_ledger": normalize_ledger,
+    "normalize_sparse_ledger": normalize_sparse_ledger,
     "categorize_totals": categorize_totals,
     "category_share_by_user": category_share_by_user,
     "top_category_by_user": top_category_by_user,
+    "top_category_own_taxonomy_by_user": top_category_own_taxonomy_by_user,
+    "prediction_own_taxonomy_by_user": prediction_own_taxonomy_by_user,
     "recurring_charges": recurring_charges,
     "recurring_charges_by_user": recurring_charges_by_user,
     "habits": habits,
@@ -320,6 +354,7 @@ QUERIES: dict[str, Query] = {
     "strict_share_amount": strict_share_amount,
     "report_lines": report,
     "report_lines_by_user": report_by_user,
+    "report_own_taxonomy": report_own_taxonomy,
     "file_classify": file_classify,
     "file_category_counts": file_category_counts,
     "file_suffix_filter": file_suffix_filter,

@@ -18,11 +18,21 @@ SELECT event_id, user_id, ts, value,
   CASE event_id % 5 WHEN 0 THEN '$' || cast(value AS {S}) WHEN 1 THEN cast(value AS {S})
     WHEN 2 THEN '(' || cast(value AS {S}) || ')' WHEN 3 THEN 'n/a'
     ELSE '-' || cast(value AS {S}) END AS raw_amt,
-  CASE event_id % 4 WHEN 0 THEN substr(cast(ts AS {S}), 1, 10)
-    WHEN 1 THEN substr(cast(ts AS {S}), 6, 2) || '/' || substr(cast(ts AS {S}), 9, 2)
-                || '/' || substr(cast(ts AS {S}), 1, 4)
-    WHEN 2 THEN substr(cast(ts AS {S}), 1, 19) ELSE 'bad date' END AS raw_date
-FROM events
+  CASE event_id % 240 WHEN 4 THEN m || '-' || d || '-' || y
+    WHEN 5 THEN m || '/' || d || '/' || substr(y, 3, 2) WHEN 6 THEN y || '.' || m || '.' || d
+    WHEN 17 THEN y || m || d || 'T' || replace(clock, ':', '')
+    WHEN 18 THEN d || ' ' || name || ' ' || substr(y, 3, 2) WHEN 29 THEN 'Mon, ' || d || ' ' || name || ' ' || y
+    WHEN 30 THEN name || ' ' || y WHEN 31 THEN m || '/' || d || '/' || y || ' ' || half
+    WHEN 42 THEN day || 'T' || clock || '+02' WHEN 43 THEN y || '-' || m WHEN 56 THEN name || ' ' || d || ', ' || y
+    ELSE CASE event_id % 4 WHEN 0 THEN day WHEN 1 THEN m || '/' || d || '/' || y
+      WHEN 2 THEN day || ' ' || clock ELSE 'bad date' END
+    END AS raw_date
+FROM (SELECT *, substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * cast(m AS int) - 2, 3) AS name,
+    cast((cast(substr(clock, 1, 2) AS int) + 11) % 12 + 1 AS {S}) || substr(clock, 3, 3) ||
+      CASE WHEN substr(clock, 1, 2) < '12' THEN ' AM' ELSE ' PM' END AS half
+  FROM (SELECT *, substr(cast(ts AS {S}), 1, 10) AS day, substr(cast(ts AS {S}), 1, 4) AS y,
+      substr(cast(ts AS {S}), 6, 2) AS m, substr(cast(ts AS {S}), 9, 2) AS d, substr(cast(ts AS {S}), 12, 8) AS clock
+    FROM events))
 """
 
 INVENTORY_SQL = """

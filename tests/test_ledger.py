@@ -5,9 +5,11 @@ import statistics
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spendframe.operators import outlook, patterns, totals
 from spendframe.operators.cleaning import categorize
+from spendframe.plans.report import report_lines
 
 SCHEMA = "user string, Date string, Desc string, Amt double, CurrencyRank int"
 
@@ -169,3 +171,36 @@ def test_strict_rule(spark):
         "Invalid", "Invalid", "Invalid", "Affordable", "Risky", "Affordable"]
     with pytest.raises(ValueError):
         outlook.affordable(F.col("projection"), 1.0, "other")
+
+
+def test_own_categories(spark):
+    """Categories that the library does not know, many in one ledger, and a null one."""
+    rows = [("a", "Housing", 900.0), ("a", "Food & Dining", 10.0), ("b", None, 7.0), ("b", "x", 2.0)]
+    rows += [("c", f"name {i}", float(i)) for i in range(300)] + [("c", "name 7", 1000.0)]
+    ledger = spark.createDataFrame(rows, "user string, Category string, Amt double").withColumn("Desc", F.lit("d"))
+    top = {row["user"]: row for row in outlook.top_category(ledger, ["user"]).collect()}
+    assert (top["a"]["top_category"], round(top["a"]["top_percent"], 1), top["a"]["ratio"]) == ("Housing", 98.9, 90.0)
+    assert (top["b"]["top_category"], top["b"]["top_amount"], top["c"]["top_category"], top["c"]["top_amount"]) == (None, 7.0, "name 7", 1007.0)
+    assert {row["user"]: row["score"] for row in outlook.health_score(ledger, ["user"]).collect()}["a"] == 80
+    only = outlook.top_category(ledger, ["user"], categories=["Food & Dining"]).collect()
+    assert {row["user"]: row["top_category"] for row in only} == {"a": "Food & Dining", "b": None, "c": None}
+    assert outlook.top_category(ledger).first()["top_category"] == "name 7"
+
+
+def test_limits_of_cells_are_those_of_rows(ledger):
+    cells = outlook.cell_limits(outlook.ledger_cells(ledger, ["user"]), ["user"], 2.5)
+    found = {row["user"]: (row["_limit"], row["_rows"]) for row in cells.collect()}
+    for row in totals.ledger_stats(ledger, ["user"]).collect():
+        limit, count = found[row["user"]]
+        assert count == row["count"] and (limit is None) == (row["std"] is None)
+        assert limit is None or limit == pytest.approx(row["mean"] + 2.5 * row["std"], rel=1e-12)
+
+
+def test_report_reads_the_ledger_three_times(spark, tmp_path, ledger):
+    """Figures, limits and score share a pass; anomalies and habits need one each."""
+    path = str(tmp_path / "ledger")
+    ledger.write.parquet(path)
+    report = report_lines(spark.read.parquet(path), ["user"])
+    report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 3

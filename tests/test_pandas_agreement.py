@@ -47,6 +47,40 @@ def test_dates(spark):
     assert evaluate(spark, texts, "string", parse_date) == wanted
 
 
+# Values to agree on: notations by kind, then texts that are no date.
+NOTATIONS = """
+2024-01-05|2024/1/5|2024.01.05|2024 1 5|20240105|240105|01-02-2024|13-02-2024|02-13-2024|01.02.2024|1 2 2024
+1/2/24|13/2/24|1-2-24|13.2.24|24/1/2|24.01.02|99/1/5|75/1/5|1/5/76|32/1/5|3/4/5|1/1/1|12/31/24|29/2/2024
+5 Jan 24|05-Jan-2024|5-Jan-24|Jan 5, 2024|January 5 2024|5 January 2024|5th January 2024|January 5th, 2024|Sept 5 2024
+5th of January 2024|2024-Jan-05|2024 Jan 5|Jan/05/2024|5. Jan 2024|Jan. 5, 2024|05Jan2024|5Jan24|05 JAN 2024|Jan 5 '24
+Jan 2024|2024 January|March-2024|2024-01|2024/1|01/2024|12-2024|2024.01|2024|2024Q1|1Q2024|2024-Q3
+Mon, 05 Jan 2024|Friday, January 5, 2024|Fri Jan 5 2024|Mon Jan  5 2024|Wednesday 3 January 2024|Saturday 6 Jan 2024
+20240105T101500|20240105 101500|20240105101500|20240105T1015|202401051015|2024-01-05T10:15|2024-01-05 10|2024-01-05T10
+2024-01-05T10:15:00+02|2024-01-05T10:15:00-0530|2024-01-05T10:15:00+02:00|2024-01-05T10:15Z|2024-01-05 10:15:00 UTC
+2024-01-05 10:15:00 +0200|2024-01-05 10:15 PM|1/5/2024 3:04PM|1/5/2024 3:04:05 am|1/5/2024 12:00 AM|1/5/2024 12:30 PM
+1/5/2024 3 PM|1/5/2024 3pm|Jan 5, 2024 3:04 PM|Jan 5 2024 at 3pm|January 5, 2024, 3:04 PM|1/13/24 4:05 PM|13.01.24 10:15
+2024-01-05 10:15:00.123|2024-01-05 10:15:00,123|2024-01-05 1:02|Fri Jan  5 10:15:00 2024|Fri Jan 05 10:15:00 UTC 2024
+10:15 2024-01-05|1/2/03 4:05|31-Dec-24 23:59|05.01.2024 08:00|2024-1-5T3:04|  2024-01-05  |2024-01-05.|July 4 1976
+1/32/5|Jan 24|5 Jan|1/5|202401|2024-13-05|2024-13|13-2024|00/05/2024|2024-00-05|2024-02-30|31/31/2024|29/2/2023|01/02/0024
+1600-01-01|2300-01-01|2024-01-05 25:00|2024-01-05 10:60|1/5/2024 13:04 PM|2024-W01-5|2024-005|2024-01-05Z|Q1 2024|0|12
+1704412800|1.5|Tues 5 Jan 2024|5 de enero 2024|(2024-01-05)|2024-01-05+02:00|5/Jan/2024:10:15:00 +0000
+""".strip().replace("\n", "|").split("|")
+
+
+def test_date_notations(spark):
+    def wanted(text):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            moment = pd.to_datetime(text, errors="coerce", format="mixed")
+        if pd.isna(moment):
+            return None
+        return (moment.tz_convert("UTC").tz_localize(None) if moment.tzinfo else moment).to_pydatetime()
+
+    found = evaluate(spark, NOTATIONS, "string", parse_date)
+    assert dict(zip(NOTATIONS, found, strict=True)) == {text: wanted(text) for text in NOTATIONS}
+    assert sum(moment is not None for moment in found) > 100
+
+
 def test_numeric_dates_are_compact(spark):
     found = evaluate(spark, [20240105, None, 5], "bigint", lambda c: as_timestamp(c, "long"))
     assert [str(x) for x in found] == ["2024-01-05 00:00:00", "None", "None"]
