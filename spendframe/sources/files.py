@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +17,49 @@ from spendframe.functions.text import (
 )
 
 
+#: Files that a complete listing hands to Spark at a time.
+LISTED_AT_ONCE = 20_000
+
+
+def _every_file(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
+    """Path, size and modification time of all files, by the file system's own iterator."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    schema = "path string, length bigint, modified_ms bigint"
+    parts: list[DataFrame] = []
+    rows: list[tuple[str, int, int]] = []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(conf).listFiles(where, recursive)
+        while found.hasNext():
+            status = found.next()
+            rows.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+            if len(rows) == LISTED_AT_ONCE:
+                parts.append(spark.createDataFrame(rows, schema))
+                rows = []
+    listed = spark.createDataFrame(rows, schema)
+    for part in parts:
+        listed = part.unionByName(listed)
+    return listed.select("path", "length", F.timestamp_millis("modified_ms").alias("modificationTime"))
+
+
 def list_files(spark: SparkSession, path: str | list[str], recursive: bool = True,
-               pattern: str | None = None) -> DataFrame:
+               pattern: str | None = None, complete: bool = False) -> DataFrame:
     """Path, folder, name, lower-case extension, size and modification time.
 
-    File contents are never read: they are pruned from the scan. The scan leaves
-    out hidden and empty files.
+    File contents are never read: they are pruned from the scan, which lists large trees
+    on the executors but leaves out empty and hidden files and those that begin with an
+    underscore. A ``complete`` listing has these too; the driver makes it, from folders
+    named without patterns.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
     name = base_name(F.col("path"))
-    return reader.load(path).select(
+    if complete:
+        files = _every_file(spark, [path] if isinstance(path, str) else list(path), recursive)
+        if pattern:
+            files = files.filter(name.rlike(_glob(pattern)))
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+        files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    return files.select(
         "path",
         folder_name(F.col("path")).alias("folder"),
         name.alias("name"),
@@ -36,6 +69,11 @@ def list_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     )
 
 
+def _glob(pattern: str) -> str:
+    """Stars and question marks of a file pattern as a regular expression."""
+    return r"\A" + re.escape(pattern).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + r"\z"
+
+
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file with its whole text, invalid bytes replaced by U+FFFD."""
     return spark.read.text(path, wholetext=True).select(

@@ -1,11 +1,15 @@
 """Reading delimited files, listings and text profiles from a temporary folder."""
 
+import os
+
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from spendframe import MappingRequiredError, sinks
-from spendframe.operators import cleaning, outlook, roles
-from spendframe.plans.ledger import load_ledgers, load_table, summarize_files
+from spendframe.operators import cleaning, inventory, outlook, roles
+from spendframe.plans.ledger import NO_ROLES, load, load_ledgers, load_table, summarize_files
 from spendframe.plans.report import report_lines
 from spendframe.sources import delimited, files
 
@@ -82,6 +86,92 @@ def test_quoted_newline(spark, tmp_path):
     assert rows(ledger, "Desc", "Amt") == [("a\nb", 1.0)]
 
 
+def test_quoted_newlines_in_a_mixed_folder(spark, tmp_path):
+    """Files with line breaks in quotes are found and read whole; the others stay splittable."""
+    contents = {
+        "a.csv": 'Date,Payee,Debit\n2024-01-01,"two\nlines",1\n2024-01-02,plain,2\n2024-01-03,"a ""b""\nc",3\n',
+        "b.csv": "Date,Payee,Debit\n2024-01-04,x,4\n2024-01-05,y\n",
+        "c.csv": 'Date;Payee;Debit\n2024-01-06;"q\r\nr";6\n',
+        "d.csv": 'Date,Payee,Debit\n2024-01-07,5" pipe,7\n2024-01-08,6 feet,8\n',
+    }
+    for name, text in contents.items():
+        write(tmp_path, f"in/{name}", text)
+    layouts = delimited.find_layouts(spark, str(tmp_path / "in"))
+    assert sorted((one.multi_line, len(one.files)) for one in layouts) == [(False, 1), (True, 1), (True, 2)]
+    found = load_ledgers(spark, str(tmp_path / "in"))
+    wanted = []
+    for name in contents:
+        frame = pd.read_csv(tmp_path / "in" / name, sep=None, engine="python", on_bad_lines="skip")
+        wanted += [(f"file://{tmp_path}/in/{name}", date, payee, 0.0 if pd.isna(debit) else float(debit))
+                   for date, payee, debit in frame.itertuples(index=False)]
+    assert rows(found, "source_file", "Date", "Desc", "Amt") == sorted(wanted, key=str)
+
+
+def test_bad_files_stop_no_others(spark, tmp_path):
+    write(tmp_path, "in/good.csv", "Date,Payee,Debit\n2024-01-01,x,1\n")
+    write(tmp_path, "in/other.csv", "foo,bar\n1,2\n")
+    write(tmp_path, "in/word.csv", "x\n1\n")
+    write(tmp_path, "in/blank.csv", "\n \n")
+    write(tmp_path, "in/header é.csv", "Day;Name;Cost\n")
+    loaded = load(spark, str(tmp_path / "in"))
+    assert rows(loaded.ledger, "Desc", "Amt") == [("x", 1.0)]
+    found = {row["source_file"].rsplit("/", 1)[1]: (row["reason"], row["headers"]) for row in loaded.rejects.collect()}
+    assert found == {"other.csv": (NO_ROLES, ["foo", "bar"]), "word.csv": (delimited.NO_SEPARATOR, ["x"]),
+                     "blank.csv": (delimited.NO_TEXT, []), "header é.csv": (delimited.NO_ROWS, ["Day", "Name", "Cost"])}
+    with pytest.warns(UserWarning, match="Files left out .* and more"):
+        assert load_ledgers(spark, str(tmp_path / "in")).count() == 1
+    with pytest.raises(MappingRequiredError) as problem:
+        load(spark, [str(tmp_path / "in/other.csv"), str(tmp_path / "in/word.csv")])
+    assert problem.value.columns == ["foo", "bar"]
+    with pytest.raises(ValueError, match="no separator"):
+        load(spark, str(tmp_path / "in/word.csv"))
+
+
+def test_mapping_for_each_file(spark, tmp_path):
+    same = "When,What,In,Out\n2024-01-01,x,1,2\n"
+    for name in ("a [1].csv", "b.csv", "c.csv"):
+        write(tmp_path, f"in/{name}", same)
+    write(tmp_path, "in/d.csv", "Date,Payee,Debit\n2024-02-02,y,9\n")
+    folder = f"file://{tmp_path}/in"
+    table = spark.createDataFrame(
+        [(f"{folder}/a [1].csv", "when", "WHAT", "in"), (f"{folder}/b.csv", None, "What", "Out"), (f"{folder}/none.csv", "x", "y", "z")],
+        "source_file string, date string, desc string, amt string")
+    loaded = load(spark, str(tmp_path / "in"), table)
+    assert rows(loaded.ledger, "source_file", "Date", "Desc", "Amt") == [
+        (f"{folder}/a [1].csv", "2024-01-01", "x", 1.0), (f"{folder}/b.csv", None, "x", 2.0), (f"{folder}/d.csv", "2024-02-02", "y", 9.0)]
+    assert rows(loaded.rejects, "source_file", "headers") == [(f"{folder}/c.csv", ["When", "What", "In", "Out"])]
+
+
+def test_headers_are_looked_at_with_a_known_encoding(spark, tmp_path):
+    write(tmp_path, "in/a.csv", "Label,Date,Amount\ncaf\xe9,d,5\n".encode("latin1"))
+    write(tmp_path, "in/b.csv", "Amount,Label,Date\n7,caf\xe9,d\n2,x,d\n".encode("latin1"))
+    assert [tuple(row) for row in summarize_files(spark, str(tmp_path / "in")).collect()] == [("caf\xe9", 12.0), ("x", 2.0)]
+    write(tmp_path, "out/a.csv", "Date,Payee,Debit\n2024-01-01,x,1\n")
+    write(tmp_path, "out/b.csv", "Debit,Date,Payee\n7,2024-01-02,y\n")
+    found = load_ledgers(spark, str(tmp_path / "out"), encoding="utf-8")
+    assert rows(found, "Date", "Desc", "Amt") == [("2024-01-01", "x", 1.0), ("2024-01-02", "y", 7.0)]
+
+
+def test_complete_listing(spark, tmp_path, monkeypatch):
+    names = ["a.txt", ".hidden", "_under.csv", "empty.bin", "sub/.x/y.TXT", "sub/_e", "b c+é.txt"]
+    for name in names:
+        write(tmp_path, f"in/{name}", b"" if "e" in name else b"abc")
+    folder = str(tmp_path / "in")
+    for at_once in (2, 100):
+        monkeypatch.setattr(files, "LISTED_AT_ONCE", at_once)
+        listed = files.list_files(spark, folder, complete=True)
+        assert {(row["path"].split("/in/")[1], row["length"]) for row in listed.collect()} == {
+            (name, os.path.getsize(tmp_path / "in" / name)) for name in names}
+    flat = files.list_files(spark, folder, recursive=False, complete=True)
+    assert {row["name"] for row in flat.collect()} == {name for name in os.listdir(folder) if os.path.isfile(f"{folder}/{name}")}
+    only = files.list_files(spark, folder, pattern="*.txt", complete=True)
+    assert {row["name"] for row in only.collect()} == {"a.txt", "b c+é.txt"}
+    assert listed.columns == files.list_files(spark, folder).columns and listed.dtypes == files.list_files(spark, folder).dtypes
+    plan = inventory.export_plan(listed.withColumn("folder", F.lit("")))
+    assert {row["name"] for row in plan.collect()} == {"a.txt", "b c+é.txt", "_under.csv", "y.TXT"} - {
+        os.path.basename(name) for name in names if "e" in name}
+
+
 def test_empty_inputs(spark, tmp_path):
     header_only = write(tmp_path, "h.csv", "Date,Payee,Debit\n")
     with pytest.raises((ValueError, MappingRequiredError)):
@@ -90,7 +180,7 @@ def test_empty_inputs(spark, tmp_path):
     with pytest.raises((ValueError, MappingRequiredError)):
         load_ledgers(spark, one_column)
     (tmp_path / "none").mkdir()
-    with pytest.raises(ValueError, match="Could not read"):
+    with pytest.raises(ValueError, match="Nothing to read"):
         load_ledgers(spark, str(tmp_path / "none"))
 
 
@@ -175,7 +265,7 @@ def test_summary(spark, tmp_path):
     sinks.write_csv(summary, out)
     back = spark.read.csv(out, header=True)
     assert back.columns == ["category", "amount"] and rows(back, "amount") == [("2.0",), ("6.0",)]
-    with pytest.raises(ValueError, match="Could not identify"):
+    with pytest.raises(ValueError, match="No category or value"):
         roles.summary_columns(["foo", "bar"])
     assert roles.summary_columns(["Total", "Tag", "Amount"]) == (1, 2)
     assert roles.summary_columns(["Total income", "Tag"]) == (1, 0)
