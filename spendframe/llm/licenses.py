@@ -1,21 +1,24 @@
-"""License scans: an exact set-similarity join of parts of texts with license templates.
-
-A block is a line of a text, or a run of words across line breaks that is ``SPREAD``
-times as long as the template, as the set of its words (A-Z as a-z). It meets a template
-when it contains at least ``percent`` of the template's words. Runs find notices that
-are wrapped, at any width and with some words between.
-
-1. A text has at least the words of each of its blocks. The frequency of every template
-   word is counted over all texts; rarer words come first in a global order, ties by
-   name. Words of no template cannot match and are left out.
-2. To contain c words of a template of n, a text must have one of the template's first
-   n - c + 1 words in that order. Only texts with such a word go on.
-3. For each word that text and template share in their prefixes, length and place
-   have to leave room for c common words. What is left is verified on whole sets.
-4. The texts that hold c words are read again for their blocks: all lines, and the run
-   from each template word on, since a run that meets can be moved to its first one.
-
-All steps are DataFrame expressions. What is broadcast is made of the templates alone.
+"""License scans: an exact set-similarity join of runs of words with license templates.
+
+A block of a text is a run of consecutive words, ``SPREAD`` times as long as a template,
+as the set of its words (A-Z as a-z). It meets the template when it contains at least
+``percent`` of the template's different words. Line breaks do not count, so notices are
+found on one line or wrapped at any width, with some words between; words scattered over
+more than a block are not, however long the line is.
+
+1. One pass over the texts extracts their words and stores the places of those that are
+   in any template or phrase. Everything else reads this narrow table.
+2. The texts with each template word are counted over all of them; rarer words come first
+   in a global order, ties by name.
+3. To contain c words of a template of n, a text must have one of the template's first
+   n - c + 1 words in that order. For such a word, the number of words behind it in that
+   order, in the text and in the template, has to leave room for c common ones, and the
+   text must hold c words of the template at all.
+4. What is left is verified on the blocks that begin at one of the template's words; a
+   block that meets can be moved to its first one.
+
+All steps are DataFrame expressions, and no rows are joined or shuffled but the counts:
+templates are literals.
 
 Defined cases: a null or empty text has no words, labels or places, and score 0;
 repeated rows are labelled alike; a template without words never matches; an empty
@@ -30,12 +33,10 @@ from pyspark.sql import functions as F
 from spendframe.llm import frames
 
 PERCENT = 90
-#: A run across line breaks has so many times the words of its template.
+#: A block has so many times the words of its template.
 SPREAD = 2
-#: Runs of digits, letters and everything beyond ASCII; in lower case, and in any case.
+#: Runs of digits, letters and everything beyond ASCII, in lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases that count wherever their words stand together.
@@ -68,146 +69,120 @@ def _words_of(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
-def word_set(text: Column) -> Column:
-    return F.array_distinct(_words_of(lower_ascii(text)))
+def words_in_order(text: str) -> list[str]:
+    """The words of a template, as those of a text are read."""
+    low = "".join(c.lower() if c in _UPPER else c for c in text)
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in low).split()
+
 
+def word_places(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Columns doc_id, n_words and places (of the known words) of every row, stored.
 
-def _phrase_pattern() -> str:
-    inner = "|".join(_GAP.join(phrase.split()) for phrase in PHRASES.values())
-    return f"(?<!{WORD[:-1]})(?:{inner})(?!{WORD[:-1]})"
+    ``docs`` has doc_id and text.
+    """
+    words = docs.select("doc_id", _words_of(lower_ascii(F.col("text"))).alias("words"))
+    known = F.array_compact(F.transform("words", lambda word, at: F.when(
+        word.isin(vocabulary), F.struct(at.alias("at"), word.alias("word")))))
+    return frames.store(words.select("doc_id", F.size("words").cast("long").alias("n_words"), known.alias("places")), "places")
 
 
-def _in_order(text: str) -> list[str]:
-    low = "".join(c.lower() if c in _UPPER else c for c in text)
-    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in low).split()
+def _frequencies(placed: DataFrame) -> dict[str, int]:
+    """How many texts hold each known word."""
+    held = placed.select(F.explode(F.array_distinct(F.col("places.word"))).alias("word"))
+    return {row["word"]: row["n"] for row in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def template_words(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str]]]:
-    """Label and different words of each template that has words."""
-    return [(label, sorted(set(_in_order(text)))) for label, text in templates if _in_order(text)]
+def _strings(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def _values(spark, rows: list[str], columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
+def _template(label: str, text: str, words: list[str], percent: int) -> Column:
+    """A template as a literal; its words in the global order."""
+    least = -(-percent * len(words) // 100)
+    return F.struct(
+        F.lit(label).alias("label"), _strings(words).alias("words"), F.lit(least).alias("least"),
+        _strings(words[: len(words) - least + 1]).alias("prefix"), F.lit(SPREAD * len(words_in_order(text))).alias("run"))
 
 
-def _quoted(words: list[str]) -> str:
-    return "array(" + ", ".join("'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'" for word in words) + ")"
+def met_templates(placed: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """The rows of :func:`word_places` with ``met``: label and best containment of each template met."""
+    known = [(label, text, sorted(set(words_in_order(text)))) for label, text in templates if words_in_order(text)]
+    if not known:
+        return placed.withColumn("met", F.array().cast("array<struct<label:string,containment:double>>"))
+    times = _frequencies(placed)
+    order = sorted({word for _, _, words in known for word in words}, key=lambda word: (times.get(word, 0), word))
+    rank = {word: place for place, word in enumerate(order)}
+    literals = [_template(label, text, sorted(words, key=rank.__getitem__), percent) for label, text, words in known]
+    rare = sorted({word for _, _, words in known
+                   for word in sorted(words, key=rank.__getitem__)[: len(words) + percent * len(words) // -100 + 1]})
 
+    def room(template: Column) -> Column:
+        """Whether a shared prefix word leaves room on both sides for enough common words."""
+        def fits(word: Column, place: Column) -> Column:
+            at = F.array_position("block", word).cast("int")
+            behind = F.least(F.size("block") - at, F.size(template["words"]) - place - 1)
+            return (at > 0) & (behind + 1 >= template["least"])
 
-def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """Columns doc_id, content, label and containment, a row for each row and template that meet.
+        return F.exists(F.transform(template["prefix"], fits), lambda one: one)
 
-    ``docs`` has doc_id, content (the digest of the text) and text. The containment is
-    that of the best block.
-    """
-    spark = docs.sparkSession
-    known = template_words(templates)
-    runs = [SPREAD * len(_in_order(text)) for _, text in templates if _in_order(text)]
-    vocabulary = sorted({word for _, words in known for word in words})
-    whole = docs.select("doc_id", "content", word_set(F.col("text")).alias("words"))
-    shared = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    counted = whole.select(F.explode(shared).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    times = {row["word"]: row["n"] for row in counted}
-    order = {word: place for place, word in enumerate(sorted(vocabulary, key=lambda w: (times.get(w, 0), w)))}
-
-    index, sets, rare = [], [], set()
-    least_needed = None
-    for number, (label, words) in enumerate(known):
-        words = sorted(words, key=order.__getitem__)
-        needed = -(-percent * len(words) // 100)
-        least_needed = needed if least_needed is None else min(needed, least_needed)
-        sets.append(f"({number}, '{label}', {needed}, {runs[number]}, {_quoted(words)})")
-        for place, word in enumerate(words[: len(words) - needed + 1]):
-            rare.add(word)
-            index.append(f"({order[word]}, {number}, {place}, {len(words)}, {needed})")
-    prefixes = _values(spark, index, "rank, template, place, size, needed")
-    wholes = _values(spark, sets, "number, label, least, run, template_words")
-    ranks = F.array(*[F.lit(word) for word in sorted(order, key=order.__getitem__)])
-
-    blocks = (
-        whole.filter(F.arrays_overlap("words", F.array(*map(F.lit, sorted(rare)))))
-        # Words in the global order: an intersection keeps the order of its first side.
-        .withColumn("block", F.array_intersect(ranks, "words"))
-        .withColumn("length", F.size("block"))
-        .filter(F.col("length") >= least_needed)
-        .select("doc_id", "content", "block", "length")
-    )
-    probes = blocks.select("*", F.posexplode("block").alias("at", "word")).filter(
-        F.col("at") <= F.col("length") - least_needed).withColumn("rank", F.array_position(ranks, F.col("word")) - 1)
-    pairs = (
-        probes.join(F.broadcast(prefixes), "rank")
-        .filter((F.col("length") >= F.col("needed")) & (F.least(F.col("length") - F.col("at"), F.col("size") - F.col("place")) >= F.col("needed")))
-        .select("doc_id", "content", "block", "template")
-    )
-    held = pairs.join(F.broadcast(wholes), F.col("template") == F.col("number")).filter(
-        F.size(F.array_intersect("block", "template_words")) >= F.col("least"))
-    asked = frames.store(
-        held.groupBy(F.col("doc_id").alias("asked_id"), F.col("content").alias("asked_key"))
-        .agg(F.collect_set("template").alias("asked")), "licensed")
-
-    low = lower_ascii(F.col("text"))
-    again = (
-        docs.join(frames.small_or_plain(asked),
-                  F.col("doc_id").eqNullSafe(F.col("asked_id")) & F.col("content").eqNullSafe(F.col("asked_key")))
-        .select("doc_id", "content", F.transform(F.split(low, "\n"), lambda line: _words_of(line)).alias("lines"), "asked")
-        .select("*", F.flatten("lines").alias("words"))
-        .select("doc_id", "content", "lines", "words", F.explode("asked").alias("template"))
-        .join(F.broadcast(wholes), F.col("template") == F.col("number"))
-    )
-    on_a_line = F.array_max(F.transform("lines", lambda line: F.size(F.array_intersect(line, "template_words"))))
-    marked = F.transform("words", lambda word, at: F.struct(at.alias("at"), word.alias("word")))
-    placed = again.withColumn("placed", F.when(
-        F.size("lines") > 1, F.filter(marked, lambda one: F.array_contains("template_words", one["word"]))))
-
-    def in_run(first: Column, at: Column) -> Column:
-        near = F.filter(F.slice("placed", at + 1, F.col("run")), lambda one: one["at"] < first["at"] + F.col("run"))
-        return F.size(F.array_distinct(F.transform(near, lambda one: one["word"])))
-
-    in_a_run = F.array_max(F.transform("placed", in_run))
-    return (
-        placed.withColumn("common", F.greatest(on_a_line, in_a_run)).filter("common >= least")
-        .select("doc_id", "content", "label", (F.col("common") / F.size("template_words")).alias("containment"))
-    )
+    def holds(template: Column) -> Column:
+        return (F.size("block") >= template["least"]) & room(template) & (
+            F.size(F.array_intersect("block", template["words"])) >= template["least"])
+
+    def common(template: Column) -> Column:
+        """The most different words of a template that a block has."""
+        mine = F.filter("places", lambda one: F.array_contains(template["words"], one["word"]))
+
+        def most(own: Column) -> Column:
+            def from_one(first: Column, at: Column) -> Column:
+                near = F.filter(F.slice(own, at + 1, template["run"]), lambda one: one["at"] < first["at"] + template["run"])
+                return F.size(F.array_distinct(near["word"]))
+
+            return F.array_max(F.transform(own, from_one))
+
+        return F.get(F.transform(F.array(mine), most), F.lit(0))
+
+    def found(template: Column) -> Column:
+        return F.struct(template["label"].alias("label"), template["least"].alias("least"), common(template).alias("common"),
+                        F.size(template["words"]).alias("size"))
+
+    words = F.array_distinct(F.col("places.word"))
+    # Words in the global order: an intersection keeps the order of its first side.
+    blocks = placed.select("*", F.when(F.arrays_overlap(words, _strings(rare)), F.array_intersect(_strings(order), words)).alias("block"))
+    candidates = blocks.select("*", F.filter(F.array(*literals), holds).alias("asked"))
+    counted = candidates.select("*", F.transform("asked", found).alias("found"))
+    enough = F.filter("found", lambda one: one["common"] >= one["least"])
+    met = F.transform(enough, lambda one: F.struct(one["label"].alias("label"), (one["common"] / one["size"]).alias("containment")))
+    return counted.select(*placed.columns, F.coalesce(met, F.array().cast("array<struct<label:string,containment:double>>")).alias("met"))
+
+
+def _phrase_places(label: str, words: list[str]) -> Column:
+    """The places in ``places`` where the words stand together."""
+
+    def stands(first: Column, at: Column) -> Column:
+        here = first["word"] == words[0]
+        for step, word in enumerate(words[1:], 1):
+            following = F.get("places", at + step)
+            here = here & (following["word"] == word) & (following["at"] == first["at"] + step)
+        return F.when(here, F.struct(F.lit(label).alias("label"), first["at"].alias("at")))
+
+    return F.array_compact(F.transform("places", stands))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT,
          text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, places of the phrases, base and all labels, and the score of each row."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), frames.content_key(F.col(f"`{text}`")).alias("content"),
-                       whole.alias("text"))
-    found = (
-        matches(rows, templates, percent).groupBy("doc_id", "content")
-        .agg(F.collect_set("label").alias("met"), F.max("containment").alias("containment"))
-        .select(F.col("doc_id").alias("met_id"), F.col("content").alias("met_key"), "met", "containment")
-    )
-    pattern, low = _phrase_pattern(), lower_ascii(F.col("text"))
-    maybe = low.contains("license")
-    counted = rows.select(
-        "doc_id", "content", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-        F.when(maybe, F.regexp_extract_all(low, F.lit(pattern), F.lit(0))).alias("phrases"),
-        F.when(maybe, F.split(low, pattern, -1)).alias("around"))
-
-    def n_in(column: Column) -> Column:
-        return F.regexp_count(column, F.lit(WORD)).cast("long")
-
-    any_phrase = F.coalesce(F.size("phrases") > 0, F.lit(False))
-    ends = n_in(F.element_at("phrases", -1)) + n_in(F.element_at("around", -1))
-    def stands(word: str) -> Column:
-        return F.exists("phrases", lambda phrase: phrase.startswith(word))
-
-    labels = F.array_sort(F.array_compact(F.array(*[
-        F.when(stands(phrase.split()[0]), F.lit(label)) for label, phrase in PHRASES.items()])))
-    base = counted.select(
-        "doc_id", "content", "n_words",
-        F.when(any_phrase, F.size("phrases")).otherwise(0).cast("long").alias("n_base"),
-        F.when(any_phrase, n_in(F.element_at("around", 1))).alias("first_word"),
-        F.when(any_phrase, F.col("n_words") - ends).alias("last_word"),
-        F.when(any_phrase, labels).otherwise(F.array().cast("array<string>")).alias("base_set"))
-    joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("met_id")) & F.col("content").eqNullSafe(F.col("met_key")), "left")
-    every = F.array_sort(F.array_union("base_set", F.coalesce("met", F.array().cast("array<string>"))))
-    return joined.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_set", ",").alias("base_labels"),
-        F.array_join(every, ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"))
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), whole.alias("text"))
+    vocabulary = {word for _, text in templates for word in words_in_order(text)} | {
+        word for phrase in PHRASES.values() for word in phrase.split()}
+    met = met_templates(word_places(rows, sorted(vocabulary)), templates, percent)
+    based = met.select("doc_id", "n_words", "met", F.concat(*[
+        _phrase_places(label, phrase.split()) for label, phrase in PHRASES.items()]).alias("base"))
+    base_labels = F.array_sort(F.array_distinct(F.col("base.label")))
+    return based.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.col("base.at")).cast("long").alias("first_word"), F.array_max(F.col("base.at")).cast("long").alias("last_word"),
+        F.array_join(base_labels, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(F.col("base.label"), F.col("met.label"))), ",").alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("met.containment")), F.lit(0.0))).alias("score"))

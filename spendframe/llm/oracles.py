@@ -8,7 +8,7 @@ tests compare them with brute force.
 
 from __future__ import annotations
 
-from spendframe.llm.licenses import PERCENT, PHRASES, TEMPLATES, template_words
+from spendframe.llm.licenses import PERCENT, PHRASES, SPREAD, TEMPLATES, words_in_order
 from spendframe.llm.mixing import SEED
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -72,33 +72,37 @@ def _words(words: list[str]) -> str:
 
 def _license_scan() -> str:
     places = " UNION ALL ".join(
-        f"SELECT doc_id, '{label}' AS label, unnest([i - 1 for i in range(1, len(w) - {len(words) - 2}) if "
+        f"SELECT r, '{label}' AS label, unnest([i - 1 for i in range(1, len(w) - {len(words) - 2}) if "
         + " and ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words)) + "]) AS place FROM cut"
         for label, words in ((label, phrase.split()) for label, phrase in PHRASES.items()))
-    templates = ", ".join(f"('{label}', {_words(words)})" for label, words in template_words(TEMPLATES))
-    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    templates = ", ".join(
+        f"({number}, '{label}', {SPREAD * len(words)}, {_words(sorted(set(words)))})"
+        for number, (label, words) in enumerate((label, words_in_order(text)) for label, text in TEMPLATES))
     return f"""
 WITH cut AS (
-  SELECT doc_id, regexp_extract_all({_LOW}, {word}) AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), places AS ({places}
 ), base AS (
-  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS labels
-  FROM places GROUP BY doc_id
-), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, {word})) AS w
-  FROM (SELECT doc_id, unnest(string_split({_LOW}, chr(10))) AS line FROM documents)
-), templates(label, t) AS (VALUES {templates}
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS labels
+  FROM places GROUP BY r
+), templates(t, label, run, words) AS (VALUES {templates}
+), wanted AS (SELECT t, label, run, len(words) AS n, unnest(words) AS word FROM templates
+), hits AS (
+  SELECT * FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM cut) JOIN wanted USING (word)
+), whole AS (SELECT r, t FROM hits GROUP BY r, t, n HAVING 100 * count(DISTINCT word) >= {PERCENT} * n
+), blocks AS (
+  SELECT a.r, a.t, a.label, a.n, a.place, count(DISTINCT b.word) AS c
+  FROM whole JOIN hits a USING (r, t) JOIN hits b ON a.r = b.r AND a.t = b.t AND b.place >= a.place AND b.place < a.place + a.run
+  GROUP BY a.r, a.t, a.label, a.n, a.place
 ), met AS (
-  SELECT doc_id, list_distinct(list(label)) AS labels, max(c / n) AS containment
-  FROM (SELECT doc_id, label, len(list_intersect(w, t)) AS c, len(t) AS n FROM lines, templates)
-  WHERE 100 * c >= {PERCENT} * n GROUP BY doc_id
+  SELECT r, list_distinct(list(label)) AS labels, max(c / n) AS containment FROM blocks WHERE 100 * c >= {PERCENT} * n GROUP BY r
 )
 SELECT c.doc_id, CAST(len(c.w) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base,
        CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
        array_to_string(list_sort(coalesce(b.labels, CAST([] AS VARCHAR[]))), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, CAST([] AS VARCHAR[])), coalesce(m.labels, CAST([] AS VARCHAR[]))))), ',') AS labels,
        CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(m.containment, 0.0) END AS score
-FROM cut c LEFT JOIN base b ON c.doc_id = b.doc_id LEFT JOIN met m ON c.doc_id = m.doc_id
+FROM cut c LEFT JOIN base b ON c.r = b.r LEFT JOIN met m ON c.r = m.r
 """
 
 

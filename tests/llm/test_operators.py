@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 from math import sqrt
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -11,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from compare import difference
 from spendframe.llm import (
-    arrays, decontamination, language, licenses, mixing, ngram_join, packing, private, quality, rules, sharding, warc,
+    arrays, decontamination, language, licenses, mixing, ngram_join, oracles, packing, private, quality, rules, sharding, warc,
 )
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -273,6 +275,28 @@ def test_wrapped_license_notices(spark, width):
     assert "lgpl" in found[50]["labels"].split(",") and (found[51]["labels"], found[51]["score"]) == ("", 0.0)
 
 
+def test_license_sql_on_wrapped_and_scattered_notices(spark, tmp_path):
+    """The query and its SQL on notices that are wrapped, spread out, cut short and scattered over one line."""
+    rows = []
+    for number, (_, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        half = len(words) // 2
+        rows += [prose(number, 20) + " " + text, "\n".join(words), " zz ".join(words), " zz yy xx ".join(words),
+                 " ".join(words[: len(words) - 2]), " ".join([*words[:half], prose(90, 500), *words[half:]]),
+                 " ".join(reversed(words)) + " " + text.upper(), text + "\n" + text]
+    rows += [None, "", "MIT License mit-license", "general public\nlicense the general of public license", *TEXTS]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(i % 50, text, "x") for i, text in enumerate(rows)], "doc_id long, text string, met string")
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    found = licenses.scan(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert difference(found, tables, oracles.ORACLES["op6_license_scan"]) is None
+    scattered = [row for row in found.collect() if row["n_words"] > 500]
+    assert scattered and all(row["labels"] == "" for row in scattered if row["n_base"] == 0 and row["n_words"] < 540)
+    assert licenses.scan(docs, templates=()).filter("score not in (0, 1)").count() == 0
+
+
 def test_ring_bounds_and_slots(spark, docs):
     many = spark.range(3001).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     rows = sharding.assign(many.union(docs.select("doc_id", "text"))).collect()
