@@ -20,10 +20,12 @@ one. The order only has to be the same for all sets, so the fields need not be e
 To find what hangs together it is not needed to look at all pairs within a cluster
 of copies. A first round verifies each posting against the hub of its cell, the one
 with the fewest rarer shingles before it, and members against their group. The
-second round summarizes what is left by component, finds all pairs of different
-components that pass the filters, and verifies all their members. A pair of one
-component needs no check, and any link between components is found, so the
-components are exact.
+second round summarizes what is left by cell and component: sizes, and the bits that
+all, or any, of its fields have. Bits that all fields of one component have and none of
+another's differ in every pair of the two, so that most pairs of components that meet
+in a cell are ruled out without their members. The rest is expanded, filtered by the
+fields of both members while it is joined, and verified. A pair of one component needs
+no check, and any link between components is found, so the components are exact.
 
 Defined cases: a null or empty text has an empty set and links with nothing; with
 fewer words than a shingle the whole sequence is its one shingle; repeated rows are
@@ -53,7 +55,8 @@ MAX_FIELD_BITS = 27
 ROWS_A_GROUP = 1024
 MOST_GROUPS = 1 << 16
 PACKED = 1 << 20
-PARITY_BITS = 256
+#: Bit fields folded to so many 64-bit words stand in the postings.
+FOLDED = [f"q{i}" for i in range(8)]
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -163,11 +166,18 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 def _parity(row: np.ndarray) -> bytes:
     """A bit field of about the set's size in which each shingle flips one bit."""
-    bits = max(PARITY_BITS, 1 << int(len(row) - 1).bit_length())
+    bits = max(64 * len(FOLDED), 1 << int(len(row) - 1).bit_length())
     flips = np.bincount((row & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(parity: list[bytes]) -> list[pa.Array]:
+    """The words of the fields, each folded to the same length."""
+    words = np.array([np.bitwise_xor.reduce(np.frombuffer(one, np.int64).reshape(-1, len(FOLDED)), axis=0) for one in parity],
+                     np.int64).reshape(-1, len(FOLDED))
+    return [pa.array(words[:, i]) for i in range(len(FOLDED))]
+
+
 def _differing(one: bytes, two: bytes) -> int:
     """Bits that differ, after folding the longer field to the shorter one's length."""
     left, right = sorted((one, two), key=len)
@@ -201,11 +211,12 @@ def signatures(docs: DataFrame, repeated: list[np.ndarray], width: int, percent:
                     prefixes.append(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (one, two, group)),
-                 _lists(prefixes), pa.array(parity, pa.binary())],
-                names=["doc_id", "n", "one", "two", "group", "prefix", "parity"])
+                 _lists(prefixes), pa.array(parity, pa.binary()), *_folded(parity)],
+                names=["doc_id", "n", "one", "two", "group", "prefix", "parity", *FOLDED])
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, one long, two long, group long, prefix array<long>, parity binary")
+        sign, "doc_id long, n long, one long, two long, group long, prefix array<long>, parity binary, "
+        + ", ".join(f"{name} long" for name in FOLDED))
 
 
 def _field(keys: DataFrame) -> np.ndarray:
@@ -249,7 +260,7 @@ def _postings(signed: DataFrame, anchors: DataFrame, groups: int) -> DataFrame:
     chosen, mixed = (_field(nodes.select(F.xxhash64("node").alias("key")))
                      for nodes in (anchors, anchors.filter("mixed")))
     rows = signed.filter("n > 0 and doc_id is not null").select(
-        F.xxhash64("doc_id").alias("key"), "n", "group", F.col("doc_id").alias("node"), "prefix")
+        F.xxhash64("doc_id").alias("key"), "n", "group", F.col("doc_id").alias("node"), "prefix", *FOLDED)
 
     def weighed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
         batch = batch.filter(pa.array(_in_field(chosen, batch.column(0).to_numpy(zero_copy_only=False))))
@@ -273,9 +284,11 @@ def _postings(signed: DataFrame, anchors: DataFrame, groups: int) -> DataFrame:
             row = pa.array(row[wanted])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).take(row) for i in (1, 2, 3)), pa.array(pos[wanted].astype(np.int32)),
-                 pa.array(token[wanted])], names=["n", "group", "node", "pos", "token"])
+                 pa.array(token[wanted]), *(batch.column(name).take(row) for name in FOLDED)],
+                names=["n", "group", "node", "pos", "token", *FOLDED])
 
-    spread_rows = rows.mapInArrow(spread, "n long, group long, node long, pos int, token long")
+    spread_rows = rows.mapInArrow(spread, "n long, group long, node long, pos int, token long, "
+                                  + ", ".join(f"{name} long" for name in FOLDED))
     return spread_rows.join(shared.withColumnRenamed("key", "token"), "token", "left_semi")
 
 
@@ -351,6 +364,46 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     )
 
 
+def _within(differing: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets of these sizes together, that differ in so many shingles, can be similar enough."""
+    return (100 + percent) * differing <= (100 - percent) * sizes
+
+
+def _total(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0]).cast("long")
+
+
+def _between_components(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs x, y of nodes of different components that share a cell and pass all filters."""
+    cell = ["token", "bucket"]
+    small, large = _index(labelled, percent), _probe(labelled, percent)
+
+    def bits(side: str) -> list[Column]:
+        return [part for name in FOLDED for part in (
+            F.bit_and(name).alias(f"{side}_all_{name}"), F.bit_or(name).alias(f"{side}_any_{name}"))]
+
+    small_sums = small.groupBy(*cell, F.col("component").alias("ca")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("reach"), *bits("a"))
+    large_sums = large.groupBy(*cell, F.col("component").alias("cb")).agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.min("n").alias("size"), F.max("n").alias("top"), *bits("b"))
+    surely = _total([
+        F.bit_count(F.col(f"{one}_all_{name}").bitwiseAND(F.bitwise_not(F.col(f"{other}_any_{name}"))))
+        for name in FOLDED for one, other in (("a", "b"), ("b", "a"))])
+    meet = frames.store(
+        small_sums.join(large_sums, cell).filter(
+            (F.col("ca") != F.col("cb")) & (F.col("low") <= F.col("most")) & (F.col("high") >= F.col("least"))
+            & (F.col("size") <= F.col("reach")) & _within(surely, F.col("high") + F.col("top"), percent))
+        .select(*cell, "ca", "cb"), "cells")
+    left = small.select(*cell, F.col("component").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"),
+                        F.col("most").alias("reach"), *[F.col(name).alias(f"x_{name}") for name in FOLDED])
+    right = large.select(*cell, F.col("component").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"),
+                         "least", "most", *[F.col(name).alias(f"y_{name}") for name in FOLDED])
+    differing = _total([F.bit_count(F.col(f"x_{name}").bitwiseXOR(F.col(f"y_{name}"))) for name in FOLDED])
+    return meet.join(left, [*cell, "ca"]).join(right, [*cell, "cb"]).filter(
+        (F.col("x") != F.col("y")) & F.col("nx").between(F.col("least"), F.col("most")) & (F.col("ny") <= F.col("reach"))
+        & _within(differing, F.col("nx") + F.col("ny"), percent))
+
+
 def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                           text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
@@ -360,11 +413,12 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     signed = frames.store(signatures(docs, repeated, width, percent), "signatures")
     usable = signed.filter("n > 0 and doc_id is not null")
     classes = frames.store(usable.groupBy("n", "one", "two").agg(
-        F.min("doc_id").alias("node"), F.min("group").alias("group"), F.count("*").alias("rows")), "classes")
+        F.min("doc_id").alias("node"), F.min("group").alias("group"), F.count("*").alias("rows"),
+        *[F.min(name).alias(name) for name in FOLDED]), "classes")
     anchors = classes.groupBy("n", "group").agg(F.min("node").alias("node"), (F.count("*") > 1).alias("mixed"))
     postings = frames.store(_postings(signed, anchors, groups), "postings")
     members = frames.store(
-        classes.select("n", "group", F.col("node").alias("member")).join(
+        classes.select("n", "group", F.col("node").alias("member"), *FOLDED).join(
             anchors.filter("mixed").select("n", "group", "node"), ["n", "group"]).filter("member != node"), "members")
 
     hubs = _index(postings, percent).groupBy("token", "bucket").agg(F.min(F.struct("pos", "node", "n", "most")).alias("hub"))
@@ -378,30 +432,14 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     links = frames.store(_verified(docs, likely, width, percent), "verified")
     known = frames.store(components(links), "components")
 
-    everyone = postings.select("token", "pos", "n", "node").union(
-        postings.join(members.select("n", "group", "member"), ["n", "group"])
-        .select("token", "pos", "n", F.col("member").alias("node")))
+    everyone = postings.select("token", "pos", "n", "node", *FOLDED).union(
+        postings.drop(*FOLDED).join(members.select("n", "group", "member", *FOLDED), ["n", "group"])
+        .select("token", "pos", "n", F.col("member").alias("node"), *FOLDED))
     labelled = frames.store(
         everyone.join(known, "node", "left").select(
-            "token", "pos", "n", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    cell = ["token", "bucket"]
-    small, large = _index(labelled, percent), _probe(labelled, percent)
-    small_sums = small.groupBy(*cell, F.col("component").alias("ca")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("reach"))
-    large_sums = large.groupBy(*cell, F.col("component").alias("cb")).agg(
-        F.min("least").alias("least"), F.max("most").alias("most"), F.min("n").alias("size"))
-    meet = small_sums.join(large_sums, cell).filter(
-        "ca != cb and low <= most and high >= least and size <= reach").select(*cell, "ca", "cb")
-    left = small.select(*cell, F.col("component").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"),
-                        F.col("most").alias("reach"))
-    right = large.select(*cell, F.col("component").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"),
-                         "least", "most")
-    rest = (
-        frames.store(meet, "cells").join(left, [*cell, "ca"]).join(right, [*cell, "cb"])
-        .filter("x != y and nx between least and most and ny <= reach")
-        .select(*_ordered("x", "y")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+            "token", "pos", "n", "node", F.coalesce("component", "node").alias("component"), *FOLDED), "labelled")
+    candidates = _between_components(labelled, percent)
+    rest = candidates.select(*_ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti")
     rest = frames.store(_plausible(rest, usable, percent), "likely")
     if not rest.isEmpty():
         more = frames.store(_verified(docs, rest, width, percent), "verified")
@@ -446,9 +484,10 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     left = frames.without(docs, gone)
     if again.isEmpty():
         return left
-    repeated = frames.small_or_plain(again.select(F.col("doc_id").alias("again_id"), F.col("content").alias("again_key")))
-    rows = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("again_id")) & content.eqNullSafe(F.col("again_key")), "left_semi")
+    again_id, again_key, row = (frames.fresh(docs.columns, name) for name in ("again_id", "again_key", "row"))
+    repeated = frames.small_or_plain(again.select(F.col("doc_id").alias(again_id), F.col("content").alias(again_key)))
+    rows = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col(again_id)) & content.eqNullSafe(F.col(again_key)), "left_semi")
     others = F.to_json(F.struct(*[F.col(f"`{name}`") for name in docs.columns if name != "text"]))
     whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    kept = rows.groupBy(F.col("doc_id").alias("again_id"), content.alias("again_key")).agg(F.min_by(whole, others).alias("row"))
-    return left.unionByName(kept.select("row.*"))
+    kept = rows.groupBy(F.col("doc_id").alias(again_id), content.alias(again_key)).agg(F.min_by(whole, others).alias(row))
+    return left.unionByName(kept.select(f"{row}.*"))
