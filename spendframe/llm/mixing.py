@@ -3,11 +3,12 @@
 Sizes are words, summed up by source in one pass. A source's weight follows its rank
 by name; all sources together share the words there are, and none gets more than
 ``MOST`` times its own. A document is taken floor(rate) times plus once more with
-probability rate - floor(rate), where a digest of its id and the seed decides.
+probability rate - floor(rate), where a digest of its id, its text and the seed decides,
+so that rows without an id, or with one id, are drawn each by itself.
 
 Defined cases: a null or empty text has size 0; null sources are one source, the last;
-an empty source has target 0; a null id counts as an id of its own; repeated rows of an
-id are decided alike; an empty table gives an empty result.
+an empty source has target 0; a null id counts as an id of its own; rows that agree in id
+and text are decided alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,13 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def chance(id: Column, seed: int = SEED) -> Column:
-    """A number from 0 (with) to 1 (without) that only the id and the seed decide."""
-    named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id.cast("string"), F.lit("null")))
+def text_digest(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
+
+
+def chance(id: Column, digest: Column, seed: int = SEED) -> Column:
+    """A number from 0 (with) to 1 (without) that only the id, the text's digest and the seed decide."""
+    named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id.cast("string"), F.lit("null")), digest)
     return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -58,19 +63,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _with_copies(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """The rows, which have doc_id and source, with source_size, target and copies."""
+    """The rows, which have doc_id, source and digest, with source_size, target and copies."""
     facts = targets.withColumnRenamed("source", "target_source")
     joined = rows.join(frames.small_or_plain(facts), F.col("source").eqNullSafe(F.col("target_source")))
     whole = F.floor("rate")
-    once_more = F.when(chance(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
-    return joined.withColumn("copies", whole + once_more).drop("target_source", "rate")
+    once_more = F.when(chance(F.col("doc_id"), F.col("digest"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    return joined.withColumn("copies", whole + once_more).drop("target_source", "rate", "digest")
 
 
 def mixture(docs: DataFrame, seed: int = SEED, text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
     """Each row's doc_id, source, size, source_size, target, copies and taken words."""
     sized = frames.store(
         docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
-                    word_count(F.col(f"`{text}`")).alias("size")), "sizes")
+                    word_count(F.col(f"`{text}`")).alias("size"), text_digest(text).alias("digest")), "sizes")
     targets = frames.store(source_targets(sized), "targets")
     return _with_copies(sized, targets, seed).withColumn("taken", F.col("size") * F.col("copies"))
 
@@ -78,6 +83,6 @@ def mixture(docs: DataFrame, seed: int = SEED, text: str = "text", id: str = "do
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
     targets = frames.store(source_targets(docs.select("source", word_count("text").alias("size"))), "targets")
-    rows = docs.select("doc_id", "source", F.struct("*").alias("row"))
+    rows = docs.select("doc_id", "source", text_digest().alias("digest"), F.struct("*").alias("row"))
     taken = _with_copies(rows, targets, seed).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
