@@ -385,21 +385,31 @@ def _between_components(labelled: DataFrame, percent: int) -> DataFrame:
     small_sums = small.groupBy(*cell, F.col("component").alias("ca")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("reach"), *bits("a"))
     large_sums = large.groupBy(*cell, F.col("component").alias("cb")).agg(
-        F.min("least").alias("least"), F.max("most").alias("most"), F.min("n").alias("size"), F.max("n").alias("top"), *bits("b"))
-    surely = _total([
-        F.bit_count(F.col(f"{one}_all_{name}").bitwiseAND(F.bitwise_not(F.col(f"{other}_any_{name}"))))
-        for name in FOLDED for one, other in (("a", "b"), ("b", "a"))])
+        F.min("least").alias("b_least"), F.max("most").alias("b_most"), F.min("n").alias("b_size"), F.max("n").alias("b_top"), *bits("b"))
+
+    def surely(some: Callable[[str], tuple[Column, Column]]) -> Column:
+        """Bits that all of a side have and none of the other; ``some`` gives one side's, all and any."""
+        return _total([F.bit_count(one) for name in FOLDED for one in (
+            some(name)[0].bitwiseAND(F.bitwise_not(F.col(f"b_any_{name}"))),
+            F.col(f"b_all_{name}").bitwiseAND(F.bitwise_not(some(name)[1])))])
+
     meet = frames.store(
         small_sums.join(large_sums, cell).filter(
-            (F.col("ca") != F.col("cb")) & (F.col("low") <= F.col("most")) & (F.col("high") >= F.col("least"))
-            & (F.col("size") <= F.col("reach")) & _within(surely, F.col("high") + F.col("top"), percent))
-        .select(*cell, "ca", "cb"), "cells")
+            (F.col("ca") != F.col("cb")) & (F.col("low") <= F.col("b_most")) & (F.col("high") >= F.col("b_least"))
+            & (F.col("b_size") <= F.col("reach"))
+            & _within(surely(lambda name: (F.col(f"a_all_{name}"), F.col(f"a_any_{name}"))), F.col("high") + F.col("b_top"), percent))
+        .select(*cell, "ca", *large_sums.columns[2:]), "cells")
     left = small.select(*cell, F.col("component").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"),
                         F.col("most").alias("reach"), *[F.col(name).alias(f"x_{name}") for name in FOLDED])
+    # A node has to be close enough to what a whole component can hold before it meets its members.
+    near = meet.join(left, [*cell, "ca"]).filter(
+        F.col("nx").between(F.col("b_least"), F.col("b_most")) & (F.col("b_size") <= F.col("reach"))
+        & _within(surely(lambda name: (F.col(f"x_{name}"), F.col(f"x_{name}"))), F.col("nx") + F.col("b_top"), percent))
+    near = near.select(*left.columns[:2], "cb", "x", "nx", "reach", *[f"x_{name}" for name in FOLDED])
     right = large.select(*cell, F.col("component").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"),
                          "least", "most", *[F.col(name).alias(f"y_{name}") for name in FOLDED])
     differing = _total([F.bit_count(F.col(f"x_{name}").bitwiseXOR(F.col(f"y_{name}"))) for name in FOLDED])
-    return meet.join(left, [*cell, "ca"]).join(right, [*cell, "cb"]).filter(
+    return near.join(right, [*cell, "cb"]).filter(
         (F.col("x") != F.col("y")) & F.col("nx").between(F.col("least"), F.col("most")) & (F.col("ny") <= F.col("reach"))
         & _within(differing, F.col("nx") + F.col("ny"), percent))
 
