@@ -6,7 +6,7 @@ arguments; positions are integers that do not repeat within a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.text import lines, markdown_blocks, stem
@@ -36,7 +36,7 @@ def join_text(df: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str =
 
     Blocks of positions are joined first, so a long document is sorted and
     concatenated by many tasks and only whole blocks meet at the end. A document
-    too large for one value is for :func:`write_joined_text`.
+    too large for one value is for :func:`write_packed_text`.
     """
     blocks = (
         df.withColumn("_block", block_of(F.col(pos), block))
@@ -58,7 +58,8 @@ def write_joined_text(df: DataFrame, path: str, doc: str = "doc_id", pos: str =
     """Write each document's parts in order, newline-joined, to a folder of its own.
 
     The files of a folder, in the order of their names, are the document. Range
-    partitioning lets a large document span many tasks.
+    partitioning lets a large document span many tasks. A folder for each document
+    is for some thousands of them; :func:`write_packed_text` is for more.
     """
     (
         df.select(doc, pos, text)
@@ -71,6 +72,87 @@ def write_joined_text(df: DataFrame, path: str, doc: str = "doc_id", pos: str =
     )
 
 
+def _packed_blocks(parts: DataFrame, doc: str, pos: str, text: str, buckets: int, file_bytes: int,
+                   block: int) -> DataFrame:
+    """File, place in the file and extent of each block of positions of each document.
+
+    Documents fall into buckets by a digest. A bucket's blocks stand one after another
+    by document and position, and a new file begins at the first block past each
+    multiple of ``file_bytes``.
+    """
+    size = F.octet_length(text) + 1
+    blocks = parts.withColumn("_block", block_of(F.col(pos), block)).groupBy(doc, "_block").agg(
+        F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("parts"), F.min(pos).alias("first"), F.max(pos).alias("last"))
+    bucket = F.pmod(F.xxhash64(doc), F.lit(buckets))
+    ordered = Window.partitionBy("_bucket").orderBy(doc, "_block")
+    before = F.sum("_bytes").over(ordered) - F.col("_bytes")
+    return (
+        blocks.withColumn("_bucket", bucket)
+        .withColumn("_before", before)
+        .withColumn("file", F.shiftleft("_bucket", 32) + F.floor(F.col("_before") / file_bytes))
+        .withColumn("_at", F.col("_before") - F.min("_before").over(Window.partitionBy("file")))
+    )
+
+
+def write_packed_text(df: DataFrame, path: str, doc: str = "doc_id", pos: str = "pos", text: str = "text",
+                      file_bytes: int = 1 << 26, block: int = 1024) -> None:
+    """Write each document's parts in order, newline-joined, into files of about ``file_bytes``.
+
+    A file holds many documents and a large document spans files, so neither their
+    number nor their size is bounded. ``path/text`` has the files and ``path/manifest``
+    a row for each document and file: where it begins, its bytes, its parts, and their
+    first and last position. A document's files are numbered in its order. Which file a
+    part goes to follows from the data alone, so a repeated task writes the same again.
+    A file exceeds ``file_bytes`` by one block of ``block`` positions at most. Each
+    part ends in a newline; null parts are left out, as in :func:`join_text`.
+    """
+    parts = df.select(doc, pos, text).filter(F.col(text).isNotNull())
+    total = parts.agg(F.sum(F.octet_length(text) + 1).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-total // file_bytes))
+    blocks = _packed_blocks(parts, doc, pos, text, buckets, file_bytes, block)
+    files = blocks.select(F.struct(doc, "_block").alias("_slice"), "file")
+    (
+        parts.withColumn("_slice", F.struct(doc, block_of(F.col(pos), block).alias("_block")))
+        .join(files, "_slice")
+        .repartition(int(max(1, min(2 * buckets, 100_000))), "file")
+        .sortWithinPartitions("file", doc, pos)
+        .select("file", text)
+        .write.mode("overwrite").partitionBy("file").text(f"{path}/text")
+    )
+    (
+        blocks.groupBy(doc, "file")
+        .agg(F.min("_at").alias("at"), F.sum("_bytes").alias("bytes"), F.sum("parts").alias("parts"),
+             F.min("first").alias("first"), F.max("last").alias("last"))
+        .repartitionByRange(doc)
+        .sortWithinPartitions(doc, "file")
+        .write.mode("overwrite").parquet(f"{path}/manifest")
+    )
+
+
+def read_packed_text(spark: SparkSession, path: str, wanted: DataFrame | None = None,
+                     doc: str = "doc_id") -> DataFrame:
+    """The pieces of documents written by :func:`write_packed_text`: doc, file, first, last, text.
+
+    A document's pieces, in the order of ``file`` and without anything between them,
+    are its text with a last newline. ``wanted`` has the documents to read; without it
+    all are. Only files that hold one of them are joined to the manifest.
+    """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    if wanted is not None:
+        manifest = manifest.join(wanted.select(doc).distinct(), doc, "left_semi")
+    places = manifest.groupBy("file").agg(F.collect_list(F.struct(doc, "at", "bytes", "first", "last")).alias("_places"))
+    number = F.regexp_extract("path", r"/file=(-?\d+)/[^/]*$", 1).cast("bigint")
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
+        .load(f"{path}/text").select(number.alias("file"), "content")
+    )
+    pieces = F.transform("_places", lambda place: F.struct(
+        place[doc].alias(doc), place["first"].alias("first"), place["last"].alias("last"),
+        F.substring(F.col("content"), (place["at"] + 1).cast("int"), place["bytes"].cast("int")).alias("text")))
+    return files.join(places, "file").select("file", F.explode(pieces).alias("_piece")).select(
+        f"_piece.{doc}", "file", "_piece.first", "_piece.last", F.decode("_piece.text", "utf-8").alias("text"))
+
+
 def merge(df: DataFrame, order: DataFrame, group: str = "merge_id", rank: str = "rank",
           doc: str = "doc_id", pos: str = "pos") -> DataFrame:
     """Join documents end to end in the given order and renumber their items from 1.

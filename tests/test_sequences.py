@@ -95,6 +95,37 @@ def test_write_joined_text(spark, tmp_path):
         assert text == "".join(f"{doc}:{i}\n" for i in range(n))
 
 
+@pytest.mark.parametrize("file_bytes", [64, 1 << 20])
+def test_packed_text(spark, tmp_path, file_bytes):
+    out = str(tmp_path / "packed")
+    odd = spark.createDataFrame([(None, 1, "no\nid"), (None, 0, ""), ("é", 3, "ü\n"), ("n", 0, None)],
+                                "doc_id string, pos int, text string")
+    df = pages(spark, {"a": 300, "b": 3, "c": 1}, gap=7).union(odd)
+    sequences.write_packed_text(df, out, file_bytes=file_bytes, block=10)
+    found = sequences.read_packed_text(spark, out).orderBy("file").collect()
+    texts = {}
+    for row in found:
+        texts[row["doc_id"]] = texts.get(row["doc_id"], "") + row["text"]
+    wanted = {doc: "".join(f"{doc}:{i}\n" for i in range(n)) for doc, n in (("a", 300), ("b", 3), ("c", 1))}
+    assert texts == wanted | {None: "\nno\nid\n", "é": "ü\n\n"}
+    some = sequences.read_packed_text(spark, out, spark.createDataFrame([("b",), ("x",)], "doc_id string"))
+    assert {row["doc_id"] for row in some.collect()} == {"b"}
+    assert (sum(row["doc_id"] == "a" for row in found) > 10) == (file_bytes == 64)
+
+
+def test_packed_text_of_many_and_of_one_large_document(spark, tmp_path):
+    out = str(tmp_path / "packed")
+    small = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit("d"), "id").alias("text"))
+    large = spark.range(200_000).select(F.lit(-1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("pos"),
+                                        F.concat(F.lit("part "), "id").alias("text"))
+    sequences.write_packed_text(small.union(large), out, file_bytes=1 << 20)
+    pieces = sequences.read_packed_text(spark, out)
+    assert pieces.filter("doc_id >= 0 AND text = concat('d', doc_id, '\n')").select("doc_id").distinct().count() == 1_000_000
+    whole = "".join(row["text"] for row in pieces.filter("doc_id = -1").orderBy("file").collect())
+    assert whole == "".join(f"part {i}\n" for i in range(200_000))
+    assert 10 < spark.read.parquet(f"{out}/manifest").select("file").distinct().count() < 64
+
+
 def test_blocks(spark):
     source = "# T\n\n  ## U  \n### V\n- b\n* c\n#x\n-y\n \xa0 \nplain\n#### deep"
     df = spark.createDataFrame([(1, source), (2, "")], "doc_id int, text string")
