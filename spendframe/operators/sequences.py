@@ -81,16 +81,19 @@ def _packed_blocks(parts: DataFrame, doc: str, pos: str, text: str, buckets: int
     multiple of ``file_bytes``.
     """
     size = F.octet_length(text) + 1
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     blocks = parts.withColumn("_block", block_of(F.col(pos), block)).groupBy(doc, "_block").agg(
-        F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("parts"), F.min(pos).alias("first"), F.max(pos).alias("last"))
+        F.sum(size).alias("_bytes"), F.sum(breaks + 1).alias("_lines"), F.count(F.lit(1)).alias("parts"), F.min(pos).alias("first"), F.max(pos).alias("last"))
     bucket = F.pmod(F.xxhash64(doc), F.lit(buckets))
     ordered = Window.partitionBy("_bucket").orderBy(doc, "_block")
-    before = F.sum("_bytes").over(ordered) - F.col("_bytes")
+    file = Window.partitionBy("file")
     return (
         blocks.withColumn("_bucket", bucket)
-        .withColumn("_before", before)
+        .withColumn("_before", F.sum("_bytes").over(ordered) - F.col("_bytes"))
+        .withColumn("_above", F.sum("_lines").over(ordered) - F.col("_lines"))
         .withColumn("file", F.shiftleft("_bucket", 32) + F.floor(F.col("_before") / file_bytes))
-        .withColumn("_at", F.col("_before") - F.min("_before").over(Window.partitionBy("file")))
+        .withColumn("_at", F.col("_before") - F.min("_before").over(file))
+        .withColumn("_line", F.col("_above") - F.min("_above").over(file))
     )
 
 
@@ -100,8 +103,8 @@ def write_packed_text(df: DataFrame, path: str, doc: str = "doc_id", pos: str =
 
     A file holds many documents and a large document spans files, so neither their
     number nor their size is bounded. ``path/text`` has the files and ``path/manifest``
-    a row for each document and file: where it begins, its bytes, its parts, and their
-    first and last position. A document's files are numbered in its order. Which file a
+    a row for each document and file: the byte and the line where it begins, its bytes,
+    lines and parts, and their first and last position. A document's files are numbered in its order. Which file a
     part goes to follows from the data alone, so a repeated task writes the same again.
     A file exceeds ``file_bytes`` by one block of ``block`` positions at most. Each
     part ends in a newline; null parts are left out, as in :func:`join_text`.
@@ -121,8 +124,8 @@ def write_packed_text(df: DataFrame, path: str, doc: str = "doc_id", pos: str =
     )
     (
         blocks.groupBy(doc, "file")
-        .agg(F.min("_at").alias("at"), F.sum("_bytes").alias("bytes"), F.sum("parts").alias("parts"),
-             F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(F.min("_at").alias("at"), F.sum("_bytes").alias("bytes"), F.min("_line").alias("line"),
+             F.sum("_lines").alias("lines"), F.sum("parts").alias("parts"), F.min("first").alias("first"), F.max("last").alias("last"))
         .repartitionByRange(doc)
         .sortWithinPartitions(doc, "file")
         .write.mode("overwrite").parquet(f"{path}/manifest")
@@ -140,17 +143,25 @@ def read_packed_text(spark: SparkSession, path: str, wanted: DataFrame | None =
     manifest = spark.read.parquet(f"{path}/manifest")
     if wanted is not None:
         manifest = manifest.join(wanted.select(doc).distinct(), doc, "left_semi")
-    places = manifest.groupBy("file").agg(F.collect_list(F.struct(doc, "at", "bytes", "first", "last")).alias("_places"))
+    place = F.struct(F.col(doc), F.col("first"), F.col("last"), (F.col("line") + F.col("lines")).alias("end"))
+    starts = manifest.select("file", F.col("line").alias("_line"), F.lit(None).cast("string").alias("_text"), place.alias("_place"))
     number = F.regexp_extract("path", r"/file=(-?\d+)/[^/]*$", 1).cast("bigint")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
-        .load(f"{path}/text").select(number.alias("file"), "content")
+        .load(f"{path}/text").select(number.alias("file"), F.decode("content", "utf-8").alias("_whole"))
+        .join(manifest.select("file").distinct(), "file", "left_semi")
+    )
+    every = files.select("file", F.posexplode(F.split("_whole", "\n")).alias("_line", "_text"))
+    marked = every.select("file", F.col("_line").cast("bigint").alias("_line"), "_text").unionByName(starts, allowMissingColumns=True)
+    # A file is of bounded size, and so is the window over it.
+    so_far = Window.partitionBy("file").orderBy("_line", F.col("_text").isNotNull())
+    return (
+        marked.withColumn("_place", F.last("_place", ignorenulls=True).over(so_far))
+        .filter(F.col("_text").isNotNull() & (F.col("_line") < F.col("_place.end")))
+        .groupBy("file", "_place")
+        .agg(_in_order("_text", "\n", "_line"))
+        .select(f"_place.{doc}", "file", "_place.first", "_place.last", F.concat("_text", F.lit("\n")).alias("text"))
     )
-    pieces = F.transform("_places", lambda place: F.struct(
-        place[doc].alias(doc), place["first"].alias("first"), place["last"].alias("last"),
-        F.substring(F.col("content"), (place["at"] + 1).cast("int"), place["bytes"].cast("int")).alias("text")))
-    return files.join(places, "file").select("file", F.explode(pieces).alias("_piece")).select(
-        f"_piece.{doc}", "file", "_piece.first", "_piece.last", F.decode("_piece.text", "utf-8").alias("text"))
 
 
 def merge(df: DataFrame, order: DataFrame, group: str = "merge_id", rank: str = "rank",
