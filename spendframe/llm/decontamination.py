@@ -12,12 +12,16 @@ of L words of every text is compared, as a multiset of five-word shingles:
 3. The weighted Jaccard similarity (shared over united multiplicities) of each
    candidate is computed exactly and has to reach ``percent``.
 
+An item of fewer than five words is one shingle of its own size, and so is each window
+of as many words: they are alike if they are equal, and equal windows have equal
+fingerprints, so these are looked up whole.
+
 The benchmark is a stated set of queries: it is read in blocks of ``ITEM_BLOCK`` items,
 and each block is one scan of all texts. Texts are not shuffled.
 
 Defined cases: null or empty texts match nothing, and so do items without words; an
-item of fewer than five words matches a text of just these words; a text shorter than
-an item is one window; repeated rows and repeated items match alike; of equally
+item of fewer than five words matches wherever these words stand in sequence; a text
+shorter than an item of five words or more is one window; repeated rows and repeated items match alike; of equally
 similar windows the first is reported; empty tables give an empty result.
 """
 
@@ -47,11 +51,10 @@ _VARIANTS = np.array([sum(1 << i for i in bits) for size in range(BLOCK_RADIUS +
 SCHEMA = "doc_id long, content long, item_id long, similarity double, first_word long, n_words long"
 
 
-def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles, their bounds by row, and the number of words by row."""
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, and the first word of each row."""
     hashes, begins, _ = arrays.words(data, bounds, arrays.NOT_ALNUM, arrays.FOLDED)
-    first = arrays.firsts(begins, bounds)
-    return *arrays.windows(hashes, first, WIDTH), np.diff(first)
+    return hashes, arrays.firsts(begins, bounds)
 
 
 def fingerprint(shingles: np.ndarray) -> np.uint64:
@@ -64,8 +67,19 @@ class Items:
     """The index of one block of benchmark items."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        shingles, bounds, n_words = _shingles(*arrays.utf8(pa.array(texts, pa.string())))
-        rows = [i for i in range(len(ids)) if n_words[i]]
+        hashes, first = _words(*arrays.utf8(pa.array(texts, pa.string())))
+        shingles, bounds = arrays.windows(hashes, first, WIDTH)
+        n_words = np.diff(first)
+        #: For each size below a shingle's the windows of such items in order, and their ids.
+        self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for size in range(1, WIDTH):
+            own, at = arrays.windows(hashes, first, size, short=False)
+            asked: dict[int, set[int]] = defaultdict(set)
+            for i in np.flatnonzero(n_words == size).tolist():
+                asked[int(own[at[i]])].add(ids[i])
+            if asked:
+                self.short[size] = (np.array(sorted(asked), np.uint64), [sorted(asked[key]) for key in sorted(asked)])
+        rows = [i for i in range(len(ids)) if n_words[i] >= WIDTH]
         self.ids = [ids[i] for i in rows]
         self.words = [int(n_words[i]) for i in rows]
         self.bags = [shingles[bounds[i] : bounds[i + 1]] for i in rows]
@@ -143,13 +157,28 @@ def _matches(items: Items, shingles: np.ndarray, held: np.ndarray, percent: int)
     return best
 
 
+def _short_matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Row, item, first word and words of the first window equal to each short item."""
+    for size, (asked, ids) in items.short.items():
+        windows, at = arrays.windows(hashes, first, size, short=False)
+        places = np.flatnonzero(np.isin(windows, asked))
+        rows = np.searchsorted(at, places, "right") - 1
+        known = np.searchsorted(asked, windows[places])
+        _, once = np.unique(np.stack([rows, known]), axis=1, return_index=True)
+        for i in once.tolist():
+            for item in ids[known[i]]:
+                yield int(rows[i]), item, int(places[i] - at[rows[i]]), size
+
+
 def _scan(docs: DataFrame, items: Items, percent: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             data, bounds = arrays.utf8(batch.column(2))
             for low, high in arrays.groups(bounds):
-                shingles, at, _ = _shingles(data, bounds[low : high + 1])
+                hashes, first = _words(data, bounds[low : high + 1])
+                rows += [(low + i, item, 1.0, start, size) for i, item, start, size in _short_matches(items, hashes, first)]
+                shingles, at = arrays.windows(hashes, first, WIDTH)
                 held = items.has(shingles)
                 for i in np.flatnonzero(arrays.per_row(held, at)).tolist():
                     part = slice(at[i], at[i + 1])

@@ -2,13 +2,15 @@
 
 Each text gets rule counts (``rules``). Fixed base rules fail texts of under 50
 words and texts more than half of which repeats. For the rest, the excess of each
-statistic over its rule's limit is a coordinate; random axis-parallel splits of
-small subsamples isolate unusual points early, so a short mean path marks an
-anomaly. The score above which a text is rejected is calibrated on labelled rows.
+statistic over its rule's limit is a coordinate, so what is within all limits is usual;
+random axis-parallel splits of small subsamples isolate unusual points early, and a
+short mean path marks an anomaly. Splits are drawn from the whole span that an axis
+can have, not from the sample's alone, so a kind of junk that no sampled row shows
+is isolated too. The score above which a text is rejected is calibrated on labelled rows.
 
 All counts cover whole texts and all rows. Only fitting reads a sample: at most
-about ``FIT_ROWS`` labelled rows that pass the base rules (all rows take part where
-there is no label), chosen by a hash of their id.
+about ``FIT_ROWS`` rows labelled clean that pass the base rules (any labelled rows, or
+all rows, where there are none), chosen by a hash of their id.
 
 Defined cases: a null or empty text has zero counts and fails the base rules;
 repeated rows are judged alike; a label without a document, a null label and a
@@ -18,7 +20,7 @@ null id take no part in fitting; without labels of both kinds the threshold is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +35,9 @@ FIT_ROWS = 8192
 TREES = 100
 SUBSAMPLE = 256
 SEED = 11
-DEFAULT_THRESHOLD = 0.6
+DEFAULT_THRESHOLD = 0.5
+#: How far each coordinate can be expected to reach, by its rule; a sample that reaches further counts.
+SPANS = (1.0, 10.0, 0.7, 0.2, 0.8, 0.5, 0.8)
 #: Losing one share of clean labelled rows counts as much as missing so many shares of bad ones.
 CLEAN_WEIGHT = 10.0
 BINS = 4096
@@ -99,7 +103,10 @@ class Forest:
     depth: int
 
     @classmethod
-    def fit(cls, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> Forest:
+    def fit(cls, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED,
+            spans: Sequence[float] | None = None) -> Forest:
+        """Axes are split up to the sample's highest value or the axis's span, whichever is more."""
+        reach = np.zeros(points.shape[1]) if spans is None else np.array(spans, float)
         rng = np.random.default_rng(seed)
         size = min(subsample, len(points))
         limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
@@ -108,10 +115,12 @@ class Forest:
         for _ in range(trees):
             roots.append(len(nodes))
             nodes.append([])
-            waiting = [(len(nodes) - 1, points[rng.choice(len(points), size, replace=False)], 0)]
+            chosen = points[rng.choice(len(points), size, replace=False)]
+            waiting = [(len(nodes) - 1, chosen, reach, 0)]
             while waiting:
-                at, inside, depth = waiting.pop()
-                low, high = (inside.min(0), inside.max(0)) if len(inside) else (np.zeros(1), np.zeros(1))
+                at, inside, top, depth = waiting.pop()
+                low = inside.min(0) if len(inside) else np.zeros(1)
+                high = np.maximum(inside.max(0), top) if len(inside) else low
                 open_axes = np.flatnonzero(high > low)
                 if depth >= limit or len(inside) <= 1 or not len(open_axes):
                     nodes[at] = [-1, 0.0, 0, 0, depth + _mean_path(len(inside))]
@@ -121,7 +130,10 @@ class Forest:
                 below = inside[:, axis] < value
                 nodes[at] = [axis, value, len(nodes), len(nodes) + 1, 0.0]
                 nodes += [[], []]
-                waiting += [(len(nodes) - 2, inside[below], depth + 1), (len(nodes) - 1, inside[~below], depth + 1)]
+                lower = top.copy()
+                lower[axis] = min(lower[axis], value)
+                waiting += [(len(nodes) - 2, inside[below], lower, depth + 1),
+                            (len(nodes) - 1, inside[~below], top, depth + 1)]
         parts = np.array(nodes, float).T
         return cls(parts[0].astype(int), parts[1], parts[2].astype(int), parts[3].astype(int), parts[4],
                    np.array(roots), max(_mean_path(size), 1e-9), limit)
@@ -166,8 +178,8 @@ def score_table(counts: DataFrame, forest: Forest | None) -> DataFrame:
 
 
 def fit_forest(counts: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Forest | None:
-    """Fit on about ``rows`` rows that pass the base rules, labelled ones if there are any."""
-    for source in (labelled, counts):
+    """Fit on about ``rows`` rows that pass the base rules: labelled clean, else labelled, else any."""
+    for source in (labelled.filter("quality = 1"), labelled, counts):
         source = source.filter(~base_failed())
         total = source.count()
         if total:
@@ -175,7 +187,7 @@ def fit_forest(counts: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) ->
             chosen = F.pmod(F.xxhash64("doc_id", "content", F.lit(SEED)), F.lit(1 << 20)) < round(share * (1 << 20)) + 1
             sample = source.filter(chosen).orderBy("doc_id", "content").select(*COUNTS).limit(2 * rows).toPandas()
             if len(sample) >= 2:
-                return Forest.fit(coordinates({name: sample[name].to_numpy() for name in COUNTS}))
+                return Forest.fit(coordinates({name: sample[name].to_numpy() for name in COUNTS}), spans=SPANS)
     return None
 
 

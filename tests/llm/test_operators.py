@@ -139,6 +139,18 @@ def test_quality_verdicts(spark, docs):
     assert quality.keep_clean(docs, labels).columns == docs.columns
 
 
+def test_quality_rejects_junk_of_no_labelled_kind(spark):
+    """Labels know symbols only; capitals and numbers go all the same, and without any label too."""
+    rows = [(i, prose(i, 120)) for i in range(200)] + [(i, re.sub(" ", "### ", prose(i, 120))) for i in range(200, 210)]
+    rows += [(300 + i, prose(i, 120).upper()) for i in range(3)]
+    rows += [(310 + i, " ".join(str(1000 * i + 7 * j) for j in range(120))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(0, 210, 2)], "doc_id long, quality int")
+    for given in (labels, labels.limit(0)):
+        kept = {row["doc_id"] for row in quality.judge(docs, given).filter("kept").collect()}
+        assert set(range(200)) <= kept and not kept & {300, 301, 302, 310, 311, 312}
+
+
 def test_forest_scores_by_walking():
     rng = np.random.default_rng(0)
     points = rng.normal(size=(300, 3))
@@ -332,7 +344,10 @@ def test_decontamination_matches_all_windows(spark, docs):
     near = " ".join([*one[:39], "other"])
     far = " ".join("x" if i % 5 == 0 else w for i, w in enumerate(one))
     extra = [(201, prose(60, 80) + " " + items[0][1].upper() + ". " + prose(61, 50)), (202, prose(62, 9) + " " + near),
-             (203, far), (204, "Tiny, item!"), (205, items[1][1] + " tiny item"), (206, " ".join(one[:38]))]
+             (203, far), (204, "Tiny, item!"), (205, items[1][1] + " tiny item"), (206, " ".join(one[:38])),
+             (207, "a tiny item, and a tiny ITEM again"), (208, "tiny"), (209, "item tiny items")]
+    items += [(7, "an item of four"), (8, "Solo"), (9, "tiny item")]
+    extra += [(210, "here an item of four stands solo"), (211, "an item of")]
     rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     wanted = {}
     for doc, text in texts_of(rows):
@@ -345,7 +360,7 @@ def test_decontamination_matches_all_windows(spark, docs):
                 return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
             starts = range(max(1, len(words) - len(asked) + 1))
             # A text shorter than a shingle is a single one; so is an item.
-            cuts = [words] if len(asked) < 5 else [words[s : s + len(asked)] for s in starts]
+            cuts = [words[s : s + len(asked)] for s in starts]
             best = max((bag(c) & bag(asked)).total() / (bag(c) | bag(asked)).total() for c in cuts) if words else 0
             if best >= 0.8:
                 wanted[doc, item] = round(best, 9)
@@ -355,6 +370,31 @@ def test_decontamination_matches_all_windows(spark, docs):
     assert split.distinct().count() == len(wanted)
 
 
+def test_recall_of_edited_items(spark):
+    """Of windows with edits anywhere, similar enough by an exact count, none is lost here."""
+    rng = np.random.default_rng(8)
+    items = {i: prose(400 + i, 15 + i % 45) for i in range(150)}
+    texts = {}
+    for i, text in items.items():
+        words = text.split()
+        for turn in range(8):
+            edited = words[:]
+            for place in rng.choice(len(words), int(rng.integers(1, 3)), replace=False):
+                edited[place if turn % 2 else (0 if place % 2 else len(words) - 1)] = f"edit{turn}"
+            texts[i * 8 + turn] = (i, edited)
+
+    def bag(words):
+        return Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+
+    wanted = {(doc, i) for doc, (i, words) in texts.items()
+              if 10 * (bag(words) & bag(items[i].split())).total() >= 8 * (bag(words) | bag(items[i].split())).total()}
+    docs = spark.createDataFrame([(doc, prose(doc, 30) + " " + " ".join(words) + " " + prose(doc + 1, 20))
+                                  for doc, (_, words) in texts.items()], "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    held = {(row["doc_id"], row["item_id"]) for row in found.collect()}
+    assert len(wanted) > 500 and len(wanted & held) >= 0.995 * len(wanted)
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(5)
     items = decontamination.Items(list(range(50)), [prose(i, 30) for i in range(50)])
