@@ -35,7 +35,7 @@ FIT_ROWS = 8192
 TREES = 100
 SUBSAMPLE = 256
 SEED = 11
-DEFAULT_THRESHOLD = 0.5
+DEFAULT_THRESHOLD = 0.4
 #: How far each coordinate can be expected to reach, by its rule; a sample that reaches further counts.
 SPANS = (1.0, 10.0, 0.7, 0.2, 0.8, 0.5, 0.8)
 #: Losing one share of clean labelled rows counts as much as missing so many shares of bad ones.
