@@ -8,13 +8,15 @@ n, so counts differ by one at most, and only what overflows leaves its own shard
 
 The walk needs no rows: an arc (the buckets before a place) is a number of documents.
 At most 65,536 bucket counts are joined to the rows and one sum for each arc is
-looked at on the driver. Which of an arc's documents go on follows from their rank by
-digest, counted within buckets and added up over the arc. All steps are DataFrame or
-SQL expressions; rows are shuffled by bucket, without their text.
+looked at on the driver. A bucket that holds far more than its share (one id may hold a
+third of all rows) is cut into cells by a digest of size and checksum; there are at most
+131,072 cells. Which of an arc's documents go on follows from their rank by cell and
+digest, counted within cells and added up over the arc. All steps are DataFrame or
+SQL expressions; rows are shuffled by cell, without their text.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; a null id is an id of
-its own; equal rows (id, size and checksum) are one counted row until slots are given; an
-empty table gives an empty result.
+its own; equal rows (id, size and checksum) are one counted row, and are written out in
+runs of ``_RUN`` at most, which are spread over tasks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from spendframe.llm import frames
 SHARDS = 8
 VIRTUAL = 64
 _BUCKETS = 1 << 16
+#: No cell is meant to hold more different rows than this, or than a bucket's share.
+_CELL = 1 << 16
+_RUN = 1 << 16
 
 
 def position(id: Column) -> Column:
@@ -88,9 +93,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, text:
     owners = [shard for _, shard in places]
     edges = F.array(*[F.lit(bucket) for bucket, _ in places])
     arc = F.size(F.filter(edges, lambda edge: edge < F.col("bucket"))) % len(places)
-    buckets = placed.groupBy("bucket").agg(F.sum("copies").alias("load")).withColumn("arc", arc)
+    buckets = placed.groupBy("bucket").agg(F.sum("copies").alias("load"), F.count("*").alias("different")).withColumn("arc", arc)
     buckets = frames.store(buckets, "buckets")
-    loads = {row["arc"]: row["load"] for row in buckets.groupBy("arc").agg(F.sum("load").alias("load")).collect()}
+    sums = buckets.groupBy("arc").agg(F.sum("load").alias("load"), F.sum("different").alias("different")).collect()
+    loads = {row["arc"]: row["load"] for row in sums}
+    share = max(_CELL, -(-sum(row["different"] for row in sums) // _BUCKETS))
+    cells_of = buckets.select(F.col("bucket").alias("in_bucket"), "arc", F.ceil(F.col("different") / share).alias("cells"))
+    salt = F.pmod(F.xxhash64("size", "text_crc32"), F.col("cells")).cast("int")
+    placed = placed.join(F.broadcast(cells_of), F.col("bucket") == F.col("in_bucket")).withColumn("salt", salt).drop(
+        "in_bucket", "cells")
     taken = walk(loads, owners, shards) or [(0, 0, 0, 0)]
     used: dict[int, int] = defaultdict(int)
     pieces = []
@@ -99,17 +110,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, text:
         used[shard] += end - start
     pieces = spark.sql(f"SELECT * FROM VALUES {', '.join(pieces)} AS t(arc, low, high, shard, base)")
 
-    ahead = F.sum("load").over(Window.partitionBy("arc").orderBy("bucket")) - F.col("load")
-    offsets = buckets.select(F.col("bucket").alias("of_bucket"), "arc", ahead.alias("ahead"))
-    within = Window.partitionBy("bucket").orderBy("position", "doc_id", "text_crc32", "size")
+    cells = placed.groupBy("arc", "bucket", "salt").agg(F.sum("copies").alias("load"))
+    ahead = F.sum("load").over(Window.partitionBy("arc").orderBy("bucket", "salt")) - F.col("load")
+    offsets = cells.select(F.col("bucket").alias("of_bucket"), F.col("salt").alias("of_salt"), ahead.alias("ahead"))
+    within = Window.partitionBy("bucket", "salt").orderBy("position", "doc_id", "text_crc32", "size")
     ranked = (
         placed.withColumn("end", F.sum("copies").over(within))
-        .join(F.broadcast(offsets), F.col("bucket") == F.col("of_bucket"))
+        .join(F.broadcast(offsets), (F.col("bucket") == F.col("of_bucket")) & (F.col("salt") == F.col("of_salt")))
         .withColumn("end", F.col("ahead") + F.col("end"))
         .withColumn("start", F.col("end") - F.col("copies"))
         .join(F.broadcast(pieces), "arc")
         .filter("start < high and low < end")
+        .withColumn("last", F.least("end", "high") - 1)
+        .withColumn("run", F.explode(F.sequence(F.greatest("start", "low"), F.col("last"), F.lit(_RUN).cast("long"))))
+        .select("doc_id", "size", "text_crc32", "shard", "run", F.least("last", F.col("run") + _RUN - 1).alias("last"),
+                (F.col("base") - F.col("low")).alias("base"))
+        .repartition("shard", "run")
     )
-    rank = F.explode(F.sequence(F.greatest("start", "low"), F.least("end", "high") - 1))
-    return ranked.withColumn("rank", rank).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"))
+    return ranked.withColumn("rank", F.explode(F.sequence("run", "last"))).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).alias("slot"))

@@ -4,12 +4,16 @@ Each response yields a conversion record (its visible text) and a metadata recor
 JSON object with the HTTP status and headers, title, links and lengths). Both refer to
 the response by its identifier and carry its target, date and payload digest, and each
 names the other, so either can be followed back or across. Identifiers are derived from
-the response's and the kind, so a rerun makes the same ones.
+the response's and the kind, so a rerun makes the same ones. A source's own WARC headers
+are carried in the metadata record, and its payload digest is kept where it has one.
 
 Defined cases: a response without HTTP head is all payload; a null block is empty and
 yields empty text; a null target or date is left out of headers and null in columns; an
 unclosed comment, script or style runs to the end; repeated responses give equal
-records; an empty table gives an empty result.
+records; a response without identifier is named by its target, date and digest; a kept
+column with a record column's name gets an underscore; records that are cut short or
+gzip members that cannot be read are left out and counted by ``damaged_records``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -106,23 +111,32 @@ def _text_of(payload: bytes, headers: list[list[str]]) -> str:
 def derive(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Two records (``SCHEMA``) for each response.
 
-    ``responses`` has record_id, target_uri, warc_date and block (binary). Of its other
-    columns those named in ``keep`` are repeated on both records.
+    ``responses`` has record_id, target_uri, warc_date and block (binary), and may have
+    source_headers, a map of WARC headers by their name in lower case. Of its other columns
+    those named in ``keep`` are repeated on both records.
     """
-    kept = [(f"`{name}` {dict(responses.dtypes)[name]}") for name in keep]
+    names = list(_NAMES)
+    for name in keep:
+        names.append(frames.fresh(names, name))
+    kept = [f"`{own}` {dict(responses.dtypes)[name]}" for own, name in zip(names[len(_NAMES) :], keep, strict=True)]
+    about_source = F.col("source_headers") if "source_headers" in responses.columns else F.lit(None).cast("map<string,string>")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for record_id, uri, date, block in zip(*(column.to_pylist() for column in batch.columns[:4]), strict=True):
+            for record_id, uri, date, block, about in zip(*(column.to_pylist() for column in batch.columns[:5]), strict=True):
                 status, headers, payload = split_http(block or b"")
-                source = digest(payload)
+                own_headers = dict(about or {})
+                source = own_headers.get("warc-payload-digest") or digest(payload)
                 text, title, links = visible(_text_of(payload, headers))
                 plain = text.encode("utf-8", "replace")
-                conversion, metadata = derived_id(record_id, "conversion"), derived_id(record_id, "metadata")
+                named = f"unnamed {uri} {date} {digest(block or b'')}" if record_id is None else record_id
+                conversion, metadata = derived_id(named, "conversion"), derived_id(named, "metadata")
                 facts = {"status": status, "headers": headers, "title": title, "links": links,
                          "payload_digest": source, "payload_length": len(payload),
                          "text_digest": digest(plain), "conversion": conversion}
+                if own_headers:
+                    facts["source_headers"] = own_headers
                 about = json.dumps(facts, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
                 for kind, own, other, content, body in (
                         ("metadata", metadata, conversion, "application/json", about),
@@ -133,9 +147,10 @@ def derive(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
                 source_row = pa.array([i for i in range(len(batch)) for _ in range(2)], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    + [column.take(source_row) for column in batch.columns[4:]], names=[*_NAMES, *keep])
+                    + [column.take(source_row) for column in batch.columns[5:]], names=names)
 
-    columns = [F.col(f"`{name}`") for name in ("record_id", "target_uri", "warc_date", "block", *keep)]
+    columns = [F.col(name) for name in ("record_id", "target_uri", "warc_date", "block")] + [about_source.alias("source_headers")]
+    columns += [F.col(f"`{name}`").alias(own) for own, name in zip(names[len(_NAMES) :], keep, strict=True)]
     return frames.texts(responses, *columns).mapInArrow(build, ", ".join([SCHEMA, *kept]))
 
 
@@ -174,20 +189,58 @@ def serialized(records: DataFrame, compress: bool = True) -> DataFrame:
     return records.select(*_NAMES).mapInArrow(write, "record binary")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a plain or gzipped file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def _members(data: bytes) -> Iterator[bytes | None]:
+    """What each gzip member holds, or None for one that cannot be read to its end."""
+    at = 0
+    while at < len(data):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            whole = member.decompress(data[at:] if at else data)
+        except zlib.error:
+            whole = None
+        if whole is not None and member.eof:
+            yield whole
+            at = len(data) - len(member.unused_data)
+        else:
+            yield None
+            at = data.find(b"\x1f\x8b\x08", at + 3)
+            if at < 0:
+                return
+
+
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | None]:
+    """Headers (names in lower case) and block of each record of a plain or gzipped file.
+
+    None stands for a record that is cut short or has no length, or for a gzip member
+    that is damaged; reading goes on at the next member.
+    """
+    if data[:2] != b"\x1f\x8b":
+        yield from _plain_records(data)
+        return
+    for member in _members(data):
+        if member is None:
+            yield None
+        else:
+            yield from _plain_records(member)
+
+
+def _plain_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | None]:
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        size = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        size = headers.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or end + 4 + int(size) > len(data):
+            yield None
+            return
+        yield headers, data[end + 4 : end + 4 + int(size)]
+        at = end + 4 + int(size) + 4
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a file that can be read whole."""
+    return (record for record in records_of(data) if record is not None)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -196,12 +249,29 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = [(headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), block)
+                rows = [(headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), block,
+                         list(headers.items()))
                         for headers, block in parse(data.as_py()) if headers.get("warc-type") == "response"]
                 if rows:
+                    kinds = (*[pa.string()] * 3, pa.binary(), pa.map_(pa.string(), pa.string()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), (*[pa.string()] * 3, pa.binary()), strict=True)],
-                        names=["record_id", "target_uri", "warc_date", "block"])
+                        [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=["record_id", "target_uri", "warc_date", "block", "source_headers"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(read, "record_id string, target_uri string, warc_date string, block binary")
+    return files.mapInArrow(read, "record_id string, target_uri string, warc_date string, block binary, "
+                                  "source_headers map<string, string>")
+
+
+def damaged_records(spark: SparkSession, path: str) -> DataFrame:
+    """Column path and, for each file, its records read whole and its damaged ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[record is not None for record in records_of(data.as_py())] for data in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([sum(whole) for whole in found], pa.int64()),
+                 pa.array([len(whole) - sum(whole) for whole in found], pa.int64())], names=["path", "whole", "damaged"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(count, "path string, whole long, damaged long")

@@ -1,5 +1,8 @@
 """Operators against brute force, with nulls, empty and long texts, ties and repeated rows."""
 
+import gzip
+import hashlib
+import json
 import re
 from collections import Counter, defaultdict
 from math import sqrt
@@ -424,3 +427,65 @@ def test_derived_records(spark):
     assert Counter((h["warc-type"], h["warc-refers-to"], h["warc-block-digest"], b) for h, b in parsed) == Counter(
         (row["warc_type"], row["refers_to"], row["block_digest"], bytes(row["block"])) for row in records.collect())
     assert all(warc.digest(b) == h["warc-block-digest"] for h, b in parsed)
+
+
+def test_source_headers_and_damaged_records(spark, tmp_path):
+    def record(number, *more):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>page %d" % number
+        head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:{number}>", f"Content-Length: {len(block)}", *more]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    own = record(1, "WARC-Payload-Digest: sha1:ABC", "WARC-IP-Address: 10.0.0.1")
+    broken = bytearray(gzip.compress(record(2)))
+    broken[20:40] = bytes(20)
+    whole = gzip.compress(own) + bytes(broken) + gzip.compress(record(3))
+    (tmp_path / "a.warc.gz").write_bytes(whole + gzip.compress(record(4))[:-30])
+    (tmp_path / "b.warc").write_bytes(record(5) + record(6)[:-20])
+    (tmp_path / "c.warc.gz").write_bytes(b"")
+    responses = warc.read_responses(spark, str(tmp_path)).withColumn("warc_type", F.lit("kept"))
+    records = warc.derive(responses, keep=["warc_type"]).collect()
+    assert {row["refers_to"] for row in records} == {"<urn:1>", "<urn:3>", "<urn:5>"} and len(records) == 6
+    assert {row["warc_type_"] for row in records} == {"kept"} and {row["warc_type"] for row in records} == {"metadata", "conversion"}
+    for row in records:
+        if row["refers_to"] == "<urn:1>":
+            assert row["source_digest"] == "sha1:ABC"
+            if row["warc_type"] == "metadata":
+                about = json.loads(bytes(row["block"]))
+                assert about["source_headers"]["warc-ip-address"] == "10.0.0.1" and about["payload_digest"] == "sha1:ABC"
+    counts = {row["path"].rsplit("/", 1)[1]: (row["whole"], row["damaged"]) for row in warc.damaged_records(spark, str(tmp_path)).collect()}
+    assert {name: found for name, found in counts.items() if name != "c.warc.gz"} == {"a.warc.gz": (2, 2), "b.warc": (1, 1)}
+    unnamed = spark.createDataFrame([(None, "http://a/", None, b"x"), (None, "http://b/", None, b"x"), (None, None, None, None)],
+                                    "record_id string, target_uri string, warc_date string, block binary")
+    assert warc.derive(unnamed).select("record_id").distinct().count() == 6
+
+
+def test_ring_by_walking_rows(spark, monkeypatch):
+    """Against a walk of single rows; one id holds a third of them, in many cells."""
+    monkeypatch.setattr(sharding, "_CELL", 16)
+    monkeypatch.setattr(sharding, "_RUN", 7)
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"),
+                                    F.when(F.col("id") % 9 > 0, F.concat(F.lit("t"), "id")).alias("text"))
+    found = sharding.assign(docs).collect()
+    owners = [shard for _, shard in sharding.ring()]
+    edges = [bucket for bucket, _ in sharding.ring()]
+    loads = Counter()
+    for row in docs.collect():
+        named = "null" if row["doc_id"] is None else str(row["doc_id"])
+        bucket = int(hashlib.md5(named.encode()).hexdigest()[:4], 16)
+        loads[sum(edge < bucket for edge in edges) % len(edges)] += 1
+    room, going, wanted = [375] * 8, dict(loads), Counter()
+    for hop in range(len(owners)):
+        for arc in sorted(going):
+            shard = owners[(arc + hop) % len(owners)]
+            while going[arc] and room[shard]:
+                room[shard] -= 1
+                going[arc] -= 1
+                wanted[arc, shard] += 1
+    given = Counter()
+    for row in found:
+        named = "null" if row["doc_id"] is None else str(row["doc_id"])
+        bucket = int(hashlib.md5(named.encode()).hexdigest()[:4], 16)
+        given[sum(edge < bucket for edge in edges) % len(edges), row["shard"]] += 1
+    assert given == wanted
+    assert Counter(row["doc_id"] for row in found) == Counter(row["doc_id"] for row in docs.collect())
+    assert sorted((row["shard"], row["slot"]) for row in found) == [(shard, slot) for shard in range(8) for slot in range(375)]
