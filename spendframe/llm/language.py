@@ -2,8 +2,8 @@
 
 The kernel of two texts is the number of letter n-grams of one to three letters that
 both contain (presence, not counts), over the geometric mean of their own numbers.
-Letters are read in lower case from an alphabet learned in training; the rest share
-one symbol, and runs of anything else are one separator. Nyström features are kernels
+Letters of all scripts are read in lower case, and runs of anything else are one
+separator; an n-gram's number is a hash of its code points. Nyström features are kernels
 with a few landmark texts, whitened by the landmarks' own kernel matrix; a ridge
 regression of -1 and 1 on them is solved for each language. Whole texts are scored in
 batches by two matrix products: presence by landmarks, kernels by weights.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,59 +34,64 @@ LANDMARKS = 192
 RIDGE = 1e-3
 SEED = 23
 UNKNOWN = "und"
-_SYMBOLS = 64
-_OTHER = _SYMBOLS - 1
-_BINS = _SYMBOLS + _SYMBOLS**2 + _SYMBOLS**3
+#: Numbers of n-grams; a text of 10,000 different ones has about 1 in 100 of them share a number.
+_BINS = 1 << 19
 _PIECE = 1 << 18
-_BATCH = 256
+_BATCH = 64
 
 
 def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def code_table(alphabet: list[str]) -> np.ndarray:
-    """For each code point 0 (no letter), a letter's number, or the number of the others."""
-    table = np.zeros(0x110000, np.uint8)
+@lru_cache(maxsize=1)
+def code_table() -> np.ndarray:
+    """For each code point that of its lower case, or 0 if it is no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for point in range(0x110000):
         letter = chr(point)
         if letter.isalpha():
-            table[point] = _OTHER
-    for number, letter in enumerate(alphabet[: _OTHER - 1], 1):
-        table[ord(letter)] = number
-    points = np.flatnonzero(table)
-    lower = np.array([ord(chr(p).lower()[0]) for p in points])
-    table[points] = np.where(table[lower] > 0, table[lower], table[points])
+            table[point] = ord(letter.lower()[0])
     return table
 
 
-def ngrams(text: str | None, table: np.ndarray) -> Iterator[np.ndarray]:
-    """Numbers of the n-grams of a text, in pieces that overlap by two symbols."""
+def _number(codes: np.ndarray, size: int) -> np.ndarray:
+    """The number of each n-gram of ``size`` symbols."""
+    count = max(0, len(codes) - size + 1)
+    mixed = np.full(count, size, np.uint64)
+    for i in range(size):
+        mixed = (mixed ^ codes[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed >> np.uint64(16)).astype(np.int64) % _BINS
+
+
+def ngrams(text: str | None) -> Iterator[np.ndarray]:
+    """Numbers of the n-grams of a text, in pieces that overlap by two symbols; none without a letter."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.concatenate([[0], table[points], [0]]).astype(np.int32)
+    codes = np.concatenate([[0], code_table()[points], [0]]).astype(np.uint64)
     codes = codes[np.concatenate([[True], (codes[1:] > 0) | (codes[:-1] > 0)])]
+    if not codes.any():
+        return
     for at in range(0, max(1, len(codes) - 2), _PIECE):
         part = codes[at : at + _PIECE + 2]
-        yield part[part > 0]
-        pairs = part[:-1] * _SYMBOLS + part[1:]
-        yield pairs + _SYMBOLS
-        if len(part) > 2:
-            yield pairs[:-1] * _SYMBOLS + part[2:] + (_SYMBOLS + _SYMBOLS**2)
+        yield _number(part[part > 0], 1)
+        yield _number(part, 2)
+        yield _number(part, 3)
 
 
 class _Presence:
     """Marks the n-grams of one text after another in the same array."""
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.seen = table, np.zeros(_BINS, bool)
+    def __init__(self):
+        self.seen = np.zeros(_BINS, bool)
 
     def of(self, text: str | None, wanted: np.ndarray | None) -> tuple[np.ndarray, int]:
         """Flags of the wanted n-grams (or all present ones), and how many there are."""
-        parts = list(ngrams(text, self.table))
+        parts = list(ngrams(text))
         for part in parts:
             self.seen[part] = True
         found = np.flatnonzero(self.seen) if wanted is None else self.seen[wanted]
-        number = int(np.count_nonzero(self.seen)) if self.seen[1:_SYMBOLS].any() else 0
+        number = int(np.count_nonzero(self.seen)) if parts else 0
         for part in parts:
             self.seen[part] = False
         return found, number
@@ -94,14 +100,13 @@ class _Presence:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray
     vocabulary: np.ndarray
     #: n-grams by landmarks, each divided by the root of the landmark's number.
     landmarks: np.ndarray
     weights: np.ndarray
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        presence = _Presence(self.table)
+        presence = _Presence()
         names, scores = [], np.zeros(len(texts))
         for at in range(0, len(texts), _BATCH):
             part = texts[at : at + _BATCH]
@@ -118,7 +123,7 @@ class Model:
         return names, scores
 
 
-def train(rows: list[tuple[str, np.ndarray]], table: np.ndarray, landmarks: int = LANDMARKS,
+def train(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS,
           ridge: float = RIDGE) -> Model | None:
     """Fit on (language, n-grams) pairs; landmarks are spread evenly over them."""
     rows = [row for row in rows if len(row[1])]
@@ -151,7 +156,7 @@ def train(rows: list[tuple[str, np.ndarray]], table: np.ndarray, landmarks: int
     shares *= len(rows) / shares.sum()
     square = features.T @ (features * shares[:, None]) + ridge * len(rows) * np.eye(len(chosen))
     weights = whiten @ np.linalg.solve(square, features.T @ (goal * shares[:, None]))
-    return Model(languages, table, vocabulary, columns, weights)
+    return Model(languages, vocabulary, columns, weights)
 
 
 def fit(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model | None:
@@ -169,19 +174,8 @@ def fit(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, landmarks: int
         .join(frames.small_or_plain(shares, len(counts)), (F.col("lang") == F.col("known")) & (F.col("slot") < F.col("share")))
         .select("doc_id", "slot", "lang", "text"), "sample")
 
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = "".join(value or "" for value in batch.column(0).to_pylist()).lower()
-            points, times = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int64)), pa.array(times.astype(np.int64))],
-                                             names=["point", "times"])
-
-    used = (sample.select("text").mapInArrow(letters, "point long, times long")
-            .groupBy("point").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "point").limit(4 * _SYMBOLS).collect())
-    table = code_table([chr(row["point"]) for row in used if chr(row["point"]).isalpha()])
-
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        presence = _Presence(table)
+        presence = _Presence()
         for batch in batches:
             grams = []
             for text in batch.column(3).to_pylist():
@@ -197,7 +191,7 @@ def fit(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, landmarks: int
         if row["grams"] and len(taken.setdefault(row["lang"], [])) < each:
             taken[row["lang"]].append(bytes(row["grams"]))
     pairs = [(lang, np.frombuffer(grams, np.int32)) for lang in sorted(taken) for grams in taken[lang]]
-    return train(pairs, table, landmarks)
+    return train(pairs, landmarks)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

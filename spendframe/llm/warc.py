@@ -40,6 +40,7 @@ SCHEMA = ("record_id string, warc_type string, refers_to string, concurrent_to s
           "source_digest string, block binary")
 _NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+_READ = 1 << 16
 _HIDDEN = {"script", "style", "template", "noscript"}
 _BREAKS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "footer", "form", "h1", "h2", "h3",
            "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "title",
@@ -191,16 +192,20 @@ def serialized(records: DataFrame, compress: bool = True) -> DataFrame:
 
 def _members(data: bytes) -> Iterator[bytes | None]:
     """What each gzip member holds, or None for one that cannot be read to its end."""
-    at = 0
+    view, at = memoryview(data), 0
     while at < len(data):
         member = zlib.decompressobj(wbits=31)
+        parts, end = [], at
         try:
-            whole = member.decompress(data[at:] if at else data)
+            # In pieces, as what is left of the input after a member is copied.
+            while not member.eof and end < len(data):
+                parts.append(member.decompress(view[end : end + _READ]))
+                end = min(end + _READ, len(data))
         except zlib.error:
-            whole = None
-        if whole is not None and member.eof:
-            yield whole
-            at = len(data) - len(member.unused_data)
+            pass
+        if member.eof:
+            yield b"".join(parts)
+            at = end - len(member.unused_data)
         else:
             yield None
             at = data.find(b"\x1f\x8b\x08", at + 3)

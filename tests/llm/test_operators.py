@@ -175,18 +175,38 @@ def test_language_scores_match_kernels(spark, data):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(documents).join(documents.select("doc_id", F.col("lang").alias("truth")), "doc_id").filter("held_out").collect()
     assert sum(row["lang_pred"] == row["truth"] for row in found) / len(found) > 0.97
-    table = language.code_table(list("abcdefghijklmnopqrstuvwxyz"))
     texts = ["the cat sat", "a dog ran off", "der hund lief", "die katze sass", "hund und katze"]
-    grams = [np.unique(np.concatenate(list(language.ngrams(t, table)))) for t in texts]
-    model = language.train(list(zip(["en", "en", "de", "de", "de"], grams, strict=True)), table, landmarks=4)
+    grams = [np.unique(np.concatenate(list(language.ngrams(t)))) for t in texts]
+    model = language.train(list(zip(["en", "en", "de", "de", "de"], grams, strict=True)), landmarks=4)
     landmarks = [set(grams[i].tolist()) for i in (2, 3, 0, 1)]
-    asked = set(np.unique(np.concatenate(list(language.ngrams("the hund sat", table)))).tolist())
+    asked = set(np.unique(np.concatenate(list(language.ngrams("the hund sat")))).tolist())
     values = np.array([kernel(asked, mark) for mark in landmarks]) @ model.weights
     names, scores = model.score(["the hund sat", "12 !", None])
     assert scores[0] == pytest.approx(np.clip((values.max() + 1) / 2, 0, 1), abs=1e-5)
     assert names[0] == ["de", "en"][values.argmax()] and names[1:] == ["und", "und"] and list(scores[1:]) == [0, 0]
 
 
+def test_languages_of_several_scripts(spark):
+    """Scripts of thousands of letters beside Latin ones, of which two share many letters."""
+    rng = np.random.default_rng(3)
+    letters = {"zh": list(range(0x4E00, 0x4E00 + 1500)),
+               "ja": [*range(0x3041, 0x3097), *range(0x30A1, 0x30FB), *range(0x4E00, 0x4E00 + 700)],
+               "ko": list(range(0xAC00, 0xAC00 + 1500)), "el": list(range(0x3B1, 0x3CA)), "ru": list(range(0x430, 0x450))}
+    rows = []
+    for name, own in letters.items():
+        share = np.array([5.0 if 0x3041 <= point < 0x30FB else 1.0 for point in own])
+        for _ in range(150):
+            text = "".join(map(chr, rng.choice(own, int(rng.integers(20, 80)), p=share / share.sum())))
+            rows.append((len(rows), " ".join(text[i : i + 9] for i in range(0, len(text), 9)), name))
+    rows += [(len(rows) + i, prose(i, 30), "la") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {row[0]: row[2] for row in rows}
+    found = [row for row in language.identify(docs).collect() if row["held_out"]]
+    for name in [*letters, "la"]:
+        mine = [row["lang_pred"] == name for row in found if truth[row["doc_id"]] == name]
+        assert sum(mine) >= 0.97 * len(mine) > 20
+
+
 def test_language_of_odd_rows(spark, docs):
     found = language.identify(docs).collect()
     assert len(found) == docs.count()
