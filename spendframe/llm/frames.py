@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 1_000_000
 BATCH_ROWS = 1000
+#: A key is hot that holds more than this part of the rows; so there are fewer hot keys than 1000.
+HOT_PART = 1000
+SALTS = 64
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,6 +75,34 @@ def small_or_plain(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, nulls equal, where a key may hold any part of the rows of ``left``.
+
+    ``left`` reads stored tables; ``right`` has few rows of one key. Where ``right`` is too
+    large for a broadcast, hot keys of ``left`` are spread over ``SALTS`` cells, and their
+    rows of ``right`` repeated in each.
+    """
+    names = [fresh([*left.columns, *right.columns], f"{key}_right") for key in keys]
+    for key, name in zip(keys, names, strict=True):
+        right = right.withColumnRenamed(key, name)
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in zip(keys, names, strict=True)]
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), same, how).drop(*names)
+    cell, other, mark = (fresh([*left.columns, *right.columns], name) for name in ("cell", "other_cell", "hot"))
+    hot = left.groupBy(*keys).agg(F.count("*").alias(mark)).filter(F.col(mark) * HOT_PART > left.count())
+    hot = store(hot, "hot").select(*(F.col(key).alias(f"{name}_hot") for key, name in zip(keys, names, strict=True)), F.lit(1).alias(mark))
+
+    def marked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        found = [F.col(column).eqNullSafe(F.col(f"{name}_hot")) for column, name in zip(columns, names, strict=True)]
+        return df.join(F.broadcast(hot), found, "left").drop(*(f"{name}_hot" for name in names))
+
+    spread = F.when(F.col(mark).isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    cells = F.when(F.col(mark).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = marked(left, keys).withColumn(cell, spread.cast("int")).drop(mark)
+    right = marked(right, names).withColumn(other, F.explode(cells)).drop(mark)
+    return left.join(right, [*same, F.col(cell) == F.col(other)], how).drop(*names, cell, other)
+
+
 def fresh(taken: Sequence[str], wanted: str) -> str:
     """A column name that none of ``taken`` has, upper and lower case alike."""
     low = {name.lower() for name in taken}

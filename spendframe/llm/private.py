@@ -1,8 +1,10 @@
 """Personal data: fixed patterns, and contextual patterns bootstrapped from their finds.
 
 1. Base: e-mail, address, card and phone patterns with their checks, on whole texts.
-2. Valid finds are seeds. The words around each token that has a digit or an at sign
-   make lexical patterns; patterns and tokens form a graph.
+2. Valid finds are seeds. Other tokens are number runs, also over single spaces
+   and brackets, and runs of letters, digits and marks that hold a digit or an at sign,
+   within longer words, quoted values and scripts without spaces too. The words around
+   seeds and tokens make lexical patterns; patterns and tokens form a graph.
 3. A pattern's confidence in a kind is the belief in that kind summed over its
    different tokens, over their number and a prior. Patterns that are confident
    and have enough believed tokens pass belief on to their other tokens. This is
@@ -11,12 +13,14 @@
    find become further spans of that kind.
 
 Defined cases: a null text is empty and has no finds; repeated rows have equal finds and
-count once; tokens longer than ``MAX_TOKEN`` are not taken as identifiers; among kinds
-of equal belief the first listed is taken; an empty table gives an empty result.
+count once; tokens and words of any length count, long ones are compared by a digest;
+base finds that overlap share the words around them all; among kinds of equal belief
+the first listed is taken; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,15 +36,25 @@ MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.7
 PRIOR = 0.5
 MIN_DIGITS = 4
-MAX_TOKEN = 128
-_REACH = 96
+#: Longer tokens and words are kept as a digest.
+SPELLED = 64
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+_MARK = r"A-Za-z0-9._%+\-@#*~"
+#: Groups of digits with one separator between two of them; else colon-separated hex
+#: groups; else a run of letters, digits and marks with a digit or an at sign.
+_TOKEN = re.compile(
+    rf"(?<![{_MARK}])[+(]{{0,2}}[0-9]++(?![A-Za-z@_%])(?:(?:\)[\x20./-]?|\x20?\(|\x20-\x20|[\x20./-])[0-9]++(?![A-Za-z@_%]))+(?![._%+\-#*~]*[A-Za-z0-9@])"
+    rf"|(?<![{_MARK}:])[0-9A-Fa-f]{{1,4}}+(?::[0-9A-Fa-f]{{0,4}}+){{2,7}}+(?![{_MARK}:])"
+    rf"|(?<![{_MARK}])[A-Za-z._%+\-#*~]*+[0-9@][{_MARK}]*+")
+#: Scripts that put no space between words count each character as a word.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+_HINT = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -101,42 +115,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(finds)
 
 
-def _word(word: str) -> str:
-    return _DIGIT.sub("0", word.lower())[:32]
+def _spelled(word: str) -> str:
+    if len(word) <= SPELLED:
+        return word
+    return "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _patterns(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two words before a place, and the words on both sides of it."""
-    before = text[max(0, start - _REACH) : start].split()[-2:]
-    after = text[end : end + _REACH].split()[:1]
-    before, after = [_word(w) for w in before], [_word(w) for w in after]
-    return " ".join(before) + " _", " ".join(before[-1:]) + " _ " + " ".join(after)
+def _word(word: str) -> str:
+    return _spelled(_DIGIT.sub("0", word.lower()))
 
 
-def tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, int, tuple[str, str]]]:
-    """(start, end, token, kind or -1, patterns) of base finds and of other tokens.
+def _words_before(text: str, low: int, high: int) -> list[str]:
+    """The last two words of a stretch of text; reads no more of it than they take."""
+    reach = 64
+    while True:
+        at = max(low, high - reach)
+        found = list(_WORD.finditer(text, at, high))[-2:]
+        if at == low or (len(found) == 2 and found[0].start() > at):
+            return [_word(word.group()) for word in found]
+        reach *= 2
 
-    Tokens carry no punctuation around them. Kind -1 is a token of no known kind.
-    """
-    for start, kind, end in base:
-        yield start, end, text[start:end][:MAX_TOKEN].lower(), kind, _patterns(text, start, end)
-    at = 0
-    for found in _TOKEN.finditer(text):
+
+def _candidates(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Tokens of a stretch between base finds, without marks around them, that touch neither."""
+    for found in _TOKEN.finditer(text, low, high):
         token = found.group()
-        start = found.start() + len(token) - len(token.lstrip("([{<\"'"))
-        end = found.start() + len(token.rstrip(".,;:!?)]}>\"'"))
-        if not 0 < end - start <= MAX_TOKEN:
-            continue
-        while at < len(base) and base[at][2] <= start:
-            at += 1
-        if any(other[0] < end and start < other[2] for other in base[at : at + len(KINDS) + 1]):
-            continue
-        yield start, end, text[start:end].lower(), -1, _patterns(text, start, end)
+        start = found.start() + len(token) - len(token.lstrip("._%-*~"))
+        end = found.end() - len(token) + len(token.rstrip("._%+-#*~"))
+        if start < end and not (found.start() == low > 0) and not (found.end() == high < len(text)):
+            yield start, end
 
 
-def _looks_like_identifier(token: Column) -> Column:
-    digits = F.length(token) - F.length(F.translate(token, "0123456789", ""))
-    return (digits >= MIN_DIGITS) | (token.contains("@") & (F.length(token) > 4))
+def _looks_like_identifier(token: str) -> bool:
+    return len(_DIGIT.findall(token)) >= MIN_DIGITS or ("@" in token and len(token) > 4)
+
+
+def tokens(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, int, bool, tuple[str, str]]]:
+    """(start, end, token, kind or -1, looks like an identifier, patterns) of base finds and other tokens.
+
+    Kind -1 is a token of no known kind. Patterns are the two words before a place, and
+    the words on both sides of it; a neighbouring find or token is a word there too.
+    """
+    places: list[tuple[int, int, list[tuple[int, int, int]]]] = []
+    for start, kind, end in base:
+        if places and start < places[-1][1]:
+            places[-1][2].append((start, end, kind))
+            places[-1] = (places[-1][0], max(places[-1][1], end), places[-1][2])
+        else:
+            places.append((start, end, [(start, end, kind)]))
+    bounds = [0, *(bound for place in places for bound in place[:2]), len(text)]
+    for low, high in zip(bounds[::2], bounds[1::2], strict=True):
+        places += [(start, end, [(start, end, -1)]) for start, end in _candidates(text, low, high)]
+    places.sort(key=lambda place: place[0])
+    before: list[str] = []
+    free = 0
+    for i, (start, end, finds) in enumerate(places):
+        before = (before + _words_before(text, free, start))[-2:]
+        following = places[i + 1] if i + 1 < len(places) else (len(text), len(text), [])
+        after = _WORD.search(text, end, following[0])
+        word = after.group() if after else text[following[0] : following[1]]
+        patterns = (" ".join(before) + " _", " ".join(before[-1:]) + " _ " + _word(word))
+        for low, high, kind in finds:
+            token = text[low:high].lower()
+            yield low, high, _spelled(token), kind, kind < 0 and _looks_like_identifier(token), patterns
+        before, free = (before + [_word(text[start:end])])[-2:], end
 
 
 def find(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -149,8 +191,8 @@ def find(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
                 whole = value.as_py() or ""
                 spans = base_spans(whole)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                seen.append([{"start": s, "end": e, "token": t, "kind": k, "patterns": list(p)}
-                             for s, e, t, k, p in tokens(whole, spans)] if spans or _TOKEN.search(whole) else [])
+                seen.append([{"start": s, "end": e, "token": t, "kind": k, "looks": a, "patterns": list(p)}
+                             for s, e, t, k, a, p in tokens(whole, spans)] if _HINT.search(whole) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(base, _BASE), pa.array(seen, _SEEN)],
                 names=["doc_id", "content", "base", "seen"])
@@ -159,28 +201,31 @@ def find(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
                         frames.content_key(F.col(f"`{text}`")).alias("content"),
                         F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(scan, "doc_id long, content long, base array<struct<start: int, kind: int, end: int>>, "
-                                 "seen array<struct<start: int, end: int, token: string, kind: int, patterns: array<string>>>")
+                                 "seen array<struct<start: int, end: int, token: string, kind: int, looks: boolean, patterns: array<string>>>")
 
 
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _SEEN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()),
-                            ("kind", pa.int32()), ("patterns", pa.list_(pa.string()))]))
+                            ("kind", pa.int32()), ("looks", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
 
 def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Columns pattern, kind and confidence, scored on the graph of patterns and tokens.
 
-    ``seen`` has token, kind and pattern. Edges are stored once; a round sums belief up
-    by pattern and spreads it by token, both with partial sums before the shuffle.
+    ``seen`` has token, kind, looks and pattern. Edges are stored once; a round sums belief
+    up by pattern and spreads it by token, both with partial sums before the shuffle.
+    Joins spread patterns and tokens that hold many edges over several tasks.
     """
-    edges = frames.store(seen.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "edges")
+    edges = frames.store(seen.groupBy("pattern", "token").agg(F.max("kind").alias("kind"), F.max("looks").alias("looks")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("tokens")).filter(F.col("tokens") >= MIN_SUPPORT)
     sizes = frames.store(sizes, "patterns")
-    edges = edges.join(sizes.select("pattern"), "pattern", "left_semi")
-    belief = edges.filter("kind >= 0").select("token", "kind", F.lit(1.0).alias("belief")).distinct()
-    believed = belief
+    kept = frames.store(frames.spread_join(edges, sizes.select("pattern"), ["pattern"]), "edges")
+    belief = frames.store(
+        kept.filter("kind >= 0").select("token", "kind", F.lit(1.0).alias("belief")).distinct(), "belief")
+    believed, links = belief, kept.select("pattern", "token")
+    frames.discard(edges)
     for turn in range(rounds):
-        summed = edges.select("pattern", "token").join(believed, "token").groupBy("pattern", "kind").agg(
+        summed = frames.spread_join(links, believed, ["token"]).groupBy("pattern", "kind").agg(
             F.sum("belief").alias("belief"), F.count("*").alias("support"))
         scored = (
             summed.join(sizes, "pattern")
@@ -192,8 +237,8 @@ def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if turn + 1 < rounds:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
             spread = (
-                edges.filter("kind < 0").filter(_looks_like_identifier(F.col("token"))).select("pattern", "token")
-                .join(scored, "pattern").groupBy("token", "kind").agg((1 - doubt).alias("belief"))
+                frames.spread_join(kept.filter("kind < 0 and looks").select("pattern", "token"), scored, ["pattern"])
+                .groupBy("token", "kind").agg((1 - doubt).alias("belief"))
             )
             believed = frames.store(belief.union(spread), "belief")
     return scored
@@ -209,19 +254,16 @@ def personal_data(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     """doc_id, counts of base finds by kind, their digest, all spans, and the number added."""
     found = frames.store(find(docs, text, id), "finds")
     tokens_seen = found.select("doc_id", "content", F.explode("seen").alias("s")).select(
-        "doc_id", "content", "s.start", "s.end", "s.token", "s.kind", F.explode("s.patterns").alias("pattern"))
-    confident = confident_patterns(tokens_seen.select("token", "kind", "pattern"))
+        "doc_id", "content", "s.start", "s.end", "s.token", "s.kind", "s.looks", F.explode("s.patterns").alias("pattern"))
+    confident = confident_patterns(tokens_seen.select("token", "kind", "looks", "pattern"))
     added = (
-        tokens_seen.filter("kind < 0").filter(_looks_like_identifier(F.col("token")))
-        .drop("kind").join(confident, "pattern")
+        frames.spread_join(tokens_seen.filter("kind < 0 and looks").drop("kind"), confident, ["pattern"])
         .groupBy("doc_id", "content", "start", "end")
         .agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("best"))
         .groupBy("doc_id", "content")
         .agg(F.collect_list(F.struct("start", (-F.col("best.order")).alias("kind"), "end")).alias("added"))
-        .select(F.col("doc_id").alias("added_id"), F.col("content").alias("added_key"), "added")
     )
-    joined = found.drop("seen").join(
-        added, F.col("doc_id").eqNullSafe(F.col("added_id")) & F.col("content").eqNullSafe(F.col("added_key")), "left")
+    joined = frames.spread_join(found.drop("seen"), frames.store(added, "added"), ["doc_id", "content"], "left")
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     everything = joined.withColumn("added", F.coalesce("added", none)).withColumn(
         "every", F.array_sort(F.concat("base", F.col("added").cast("array<struct<start: int, kind: int, end: int>>"))))

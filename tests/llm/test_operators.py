@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from compare import difference
 from spendframe.llm import (
-    arrays, decontamination, language, licenses, mixing, ngram_join, oracles, packing, private, quality, rules, sharding, warc,
+    arrays, decontamination, frames, language, licenses, mixing, ngram_join, oracles, packing, private, quality, rules, sharding, warc,
 )
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -253,6 +253,92 @@ def test_patterns_find_unseen_identifiers(spark):
     assert private.personal_data(docs).count() == len(rows)
 
 
+@pytest.mark.parametrize(("text", "wanted"), [
+    ("reach desk at (386) 555-3733 soon", [("(386) 555-3733", "desk at _", "at _ soon")]),
+    ('{"reach desk at":"ext-55512"}', [("ext-55512", "desk at _", "at _ ")]),
+    ("电话号码13812345678请", [("13812345678", "号 码 _", "码 _ 请")]),
+    ("x?id=99887766&u=a_b@c", [("99887766", "x id _", "id _ u"), ("a_b@c", "00000000 u _", "u _ ")]),
+    ("mac 00:1A:2B:3C:4D:5E, 555 12-34.", [("00:1A:2B:3C:4D:5E", "mac _", "mac _ 000 00-00"),
+                                           ("555 12-34", "mac 00:0a:0b:0c:0d:0e _", "00:0a:0b:0c:0d:0e _ ")]),
+    ("tel:+1-555-123x 12-3456-AB7", [("+1-555-123x", "tel _", "tel _ 00-0000-ab0"), ("12-3456-AB7", "tel +0-000-000x _", "+0-000-000x _ ")]),
+    ("ip 1.2.3.4 5551234 no", [("1.2.3.4", "ip _", "ip _ 0000000"), ("5551234", "ip 0.0.0.0 _", "0.0.0.0 _ no")]),
+    ("no hint here", []), ("", []),
+])
+def test_tokens_and_their_patterns(text, wanted):
+    found = private.tokens(text, private.base_spans(text))
+    assert [(text[start:end], *patterns) for start, end, _, _, _, patterns in found] == wanted
+
+
+def test_tokens_are_whole_and_linear():
+    long = "k" * 5000 + "1234"
+    (start, end, token, _, looks, patterns), = private.tokens(f"{'w' * 900} {long} y", [])
+    assert (start, end, looks) == (901, 901 + len(long), True) and len(token) < 64 and len(patterns[0]) < 64
+    for piece in ("1 ", "1-", "1 1-", "a/1/", "a:", "+", "(", "a1", "1 --"):
+        text = piece * (100_000 // len(piece)) + "1x"
+        assert sum(1 for _ in private.tokens(text, private.base_spans(text))) <= 100_000
+
+
+def graph_in_plain_python(texts):
+    """Added spans of each text, from dictionaries of patterns and tokens."""
+    seen = {text: list(private.tokens(text, private.base_spans(text))) for text in texts}
+    kinds, looks, members = defaultdict(set), defaultdict(bool), defaultdict(set)
+    for finds in seen.values():
+        for _, _, token, kind, alike, patterns in finds:
+            for pattern in patterns:
+                kinds[pattern, token].add(kind)
+                looks[pattern, token] |= alike
+                members[pattern].add(token)
+    base = {(token, max(found)): 1.0 for (_, token), found in kinds.items() if max(found) >= 0}
+    believed, confident = dict(base), {}
+    for turn in range(private.ROUNDS):
+        confident = {}
+        for pattern, tokens in members.items():
+            for kind in range(len(private.KINDS)):
+                held = [believed[token, kind] for token in tokens if (token, kind) in believed]
+                score = sum(held) / (len(tokens) + private.PRIOR)
+                if len(tokens) >= private.MIN_SUPPORT and len(held) >= private.MIN_SUPPORT and score >= private.MIN_CONFIDENCE:
+                    confident[pattern, kind] = score
+        doubt = defaultdict(lambda: 1.0)
+        for (pattern, kind), score in confident.items():
+            for token in members[pattern]:
+                if max(kinds[pattern, token]) < 0 and looks[pattern, token]:
+                    doubt[token, kind] *= max(1 - score, 1e-9)
+        believed = {key: 1 - value for key, value in doubt.items()} | base
+    added = {}
+    for text, finds in seen.items():
+        spans = set()
+        for start, end, _, kind, alike, patterns in finds:
+            scores = [(score, -k) for (pattern, k), score in confident.items() if pattern in patterns]
+            if kind < 0 and alike and scores:
+                spans.add((start, -max(scores)[1], end))
+        added[text] = sorted(spans)
+    return added
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_bootstrapped_spans_match_plain_graph(spark, monkeypatch, broadcast_rows):
+    """Also where no side is broadcast and keys count as hot, with a third of all rows alike."""
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(frames, "HOT_PART", 10)
+    texts = [f"{prose(i, 4)} reach desk at +1 (386) 555-{1000 + i} soon" for i in range(8)]
+    texts += [f"mail {w} at {w}{i}@example.org today" for i, w in enumerate(WORDS)]
+    texts += [f"card no {n} valid" for n in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400-0000-0000-009", "4012888888881881")]
+    texts += ["reach desk at (386) 555-3733 soon", '{"reach desk at":"ext-55512"}', "card no 9999-1111-2222 valid",
+              "your card no 9999-1111-2222 is late", "reach desk at 12 soon", "mail nu at nu@local today", "é card no 77-12345é valid", ""]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(None, None), (None, texts[0])] + [(5, texts[30])] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("token", F.lit("x")).withColumn("added", F.lit("x"))
+    wanted = graph_in_plain_python({text or "" for _, text in rows})
+    expected = Counter(
+        (i, ",".join(f"{private.KINDS[k]}:{start}:{end}" for start, k, end in sorted(private.base_spans(text or "") + wanted[text or ""])))
+        for i, text in rows)
+    found = private.personal_data(docs).collect()
+    assert Counter((row["doc_id"], row["spans"]) for row in found) == expected
+    spans = {row["doc_id"]: row["spans"] for row in found}
+    first = texts.index("reach desk at (386) 555-3733 soon")
+    assert spans[first] == "phone:14:28" and spans[first + 1] == "phone:18:27" and spans[first + 2] == "card:8:22"
+    assert private.personal_data(docs.limit(0)).count() == 0
+
+
 def test_mixing_repeats_documents(spark, docs):
     rows = docs.drop("copies").withColumn("row", F.lit("x"))
     wanted = defaultdict(int)
