@@ -1,10 +1,12 @@
 """Operators against brute force, with nulls, empty and long texts, ties and repeated rows."""
 
+import base64
 import gzip
 import hashlib
 import json
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from math import sqrt
 
 import duckdb
@@ -167,6 +169,61 @@ def test_forest_scores_by_walking():
         assert score == pytest.approx(2 ** (-total / 7 / forest.scale))
 
 
+def plain_statistics(text):
+    """The rule statistics beyond their limits, counted in plain Python, and whether a base rule fails."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    times = Counter(zip(words, words[1:], words[2:], strict=False))
+    again = sum(any(times[tuple(words[j : j + 3])] > 1 for j in range(max(0, i - 2), min(i + 1, len(words) - 2))) for i in range(len(words)))
+    n, chars = max(1, len(words)), max(1, sum(map(len, words)))
+    length = sum(map(len, words)) / n
+
+    def over(value, limit):
+        return max(0, value - limit)
+
+    def of(pattern):
+        return len(re.findall(pattern, text))
+
+    point = [over(of(r"[#*$%&|<>]") / n, 0.1), over(length, 10) + over(3, length),
+             over((len(lines) - len(set(lines))) / max(1, len(lines)), 0.3), over(again / n, 0.3),
+             over(of("[A-Z]") / chars, 0.2), over(of("[!?.,;:]") / n, 0.5), over(of("[0-9]") / chars, 0.2)]
+    return point, len(words) < 50 or 100 * again > 50 * len(words)
+
+
+def test_quality_verdicts_from_plain_counts(spark, data):
+    """Every row's score by walking the trees, the threshold by trying all, the verdict from both."""
+    docs, labels = (spark.read.parquet(f"{data}/{name}.parquet") for name in ("documents", "labels"))
+    counts = quality.rule_table(docs)
+    forest = quality.fit_forest(counts, counts.join(labels.select("doc_id", "quality"), "doc_id"))
+    truth = {row["doc_id"]: row["quality"] for row in labels.collect()}
+    plain = {}
+    for row in docs.collect():
+        point, failed = plain_statistics(row["text"] or "")
+        total = 0.0
+        for node in forest.roots:
+            while forest.axis[node] >= 0:
+                node = forest.left[node] if point[forest.axis[node]] < forest.value[node] else forest.right[node]
+            total += forest.length[node]
+        plain[row["doc_id"]] = (failed, 2 ** (-total / len(forest.roots) / forest.scale))
+    rated = [(int(score * quality.BINS), truth[i]) for i, (failed, score) in plain.items() if not failed and truth.get(i) in (0, 1)]
+    bad, clean = [b for b, label in rated if label == 0], [b for b, label in rated if label == 1]
+    assert bad and clean
+    gains = [sum(b >= low for b in bad) / len(bad) - quality.CLEAN_WEIGHT * sum(b >= low for b in clean) / len(clean)
+             for low in range(quality.BINS + 1)]
+    runs, best = [], max(gains) - 1e-12
+    for low, gain in enumerate(gains):
+        if gain >= best:
+            runs = [*runs[:-1], [*runs[-1], low]] if runs and runs[-1][-1] == low - 1 else [*runs, [low]]
+    widest = max(runs, key=len)
+    threshold = (widest[0] + widest[-1]) / 2 / quality.BINS
+    found = quality.judge(docs, labels).collect()
+    assert len(found) == len(plain)
+    for row in found:
+        failed, score = plain[row["doc_id"]]
+        assert row["base_failed"] == failed and row["score"] == pytest.approx(score, abs=1e-9)
+        assert row["kept"] == (not failed and score < threshold)
+
+
 def kernel(one, two):
     return len(one & two) / sqrt(len(one) * len(two))
 
@@ -535,6 +592,48 @@ def test_derived_records(spark):
     assert all(warc.digest(b) == h["warc-block-digest"] for h, b in parsed)
 
 
+class Seen(HTMLParser):
+    """Text, title and links of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.text, self.title, self.links = "", "", "", []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = tag if tag in ("script", "style", "title") else self.inside
+        self.links += [value for name, value in attrs if tag == "a" and name == "href" and value]
+
+    def handle_endtag(self, tag):
+        self.inside = "" if tag == self.inside else self.inside
+
+    def handle_data(self, data):
+        self.title += data if self.inside == "title" else ""
+        self.text += "" if self.inside in ("script", "style") else data
+
+
+def test_derived_records_of_all_pages(spark, data):
+    """Each page's two records against another parser, and their links, lengths and digests."""
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    html = {row["page_id"]: row["html"] or "" for row in pages.collect()}
+    records = defaultdict(dict)
+    for row in warc.derive(warc.responses_of_pages(pages), keep=["page_id"]).collect():
+        records[row["page_id"]][row["warc_type"]] = row
+    assert set(records) == set(html)
+    for page, pair in records.items():
+        assert set(pair) == {"metadata", "conversion"} and pair["metadata"]["refers_to"] == pair["conversion"]["refers_to"]
+        seen = Seen()
+        seen.feed(html[page])
+        seen.close()
+        about, text = json.loads(bytes(pair["metadata"]["block"])), bytes(pair["conversion"]["block"]).decode()
+        assert "".join(text.split()) == "".join(seen.text.split())
+        assert about["title"].split() == seen.title.split() and about["links"] == seen.links
+        for row in pair.values():
+            block = bytes(row["block"])
+            assert row["content_length"] == len(block)
+            assert row["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+            assert row["source_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(html[page].encode()).digest()).decode()
+
+
 def test_source_headers_and_damaged_records(spark, tmp_path):
     def record(number, *more):
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>page %d" % number

@@ -30,3 +30,29 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert packing.unpack(packed).count() == docs.count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_tables(spark, data, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_like_the_operators_own(spark, tmp_path):
+    """Columns that stages make for themselves, in documents with repeated rows, without labels or items."""
+    names = ["again_id", "again_key", "gone_id", "copies", "content", "component_id", "size", "score", "Kept"]
+    rows = [(i, prose(i // 2, 120), "en", "s0", 1, *"abcdefghi") for i in (0, 1, 2, 3, 4, 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{name} string" for name in names)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    left = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        result = stage(spark, docs, str(tmp_path))
+        assert result.columns == docs.columns
+        result.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        left.append(sorted(row["doc_id"] for row in docs.collect()))
+        assert all(tuple(row)[5:] == tuple("abcdefghi") for row in docs.collect())
+    assert left[:3] == [[0, 1, 2, 3, 4, 4], [0, 2, 4], [0, 2, 4]]
+    assert packing.unpack(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))).count() == docs.count()
