@@ -19,8 +19,10 @@ one. The order only has to be the same for all sets, so the fields need not be e
 
 To find what hangs together it is not needed to look at all pairs within a cluster
 of copies. A first round verifies each posting against the hub of its cell, the one
-with the fewest rarer shingles before it, and members against their group. The
-second round summarizes what is left by cell and component: sizes, and the bits that
+with the fewest rarer shingles before it, and members against their group. Where
+cells of several components stay large, further rounds draw other hubs for each and
+verify, for each two components that meet, the closest pair of a posting and a hub.
+The last round summarizes what is left by cell and component: sizes, and the bits that
 all, or any, of its fields have. Bits that all fields of one component have and none of
 another's differ in every pair of the two, so that most pairs of components that meet
 in a cell are ruled out without their members. The rest is expanded, filtered by the
@@ -57,6 +59,10 @@ MOST_GROUPS = 1 << 16
 PACKED = 1 << 20
 #: Bit fields folded to so many 64-bit words stand in the postings.
 FOLDED = [f"q{i}" for i in range(8)]
+#: Hubs drawn for a cell in a round, the most such rounds, and the part of the links that a round adds before another.
+HUBS = 4
+ROUNDS = 4
+WORTH = 0.01
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -296,17 +302,21 @@ def _bucket(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent))).cast("int")
 
 
+def _most(percent: int) -> Column:
+    """The greatest size of a partner that has no rarer shingle in common."""
+    return F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")
+
+
 def _index(postings: DataFrame, percent: int) -> DataFrame:
     """Postings as the smaller side: cell, size and the greatest size of a partner."""
-    most = F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")
-    return postings.withColumn("most", most).filter("most >= n").withColumn("bucket", _bucket(F.col("n"), percent))
+    return postings.withColumn("most", _most(percent)).filter("most >= n").withColumn("bucket", _bucket(F.col("n"), percent))
 
 
 def _probe(postings: DataFrame, percent: int) -> DataFrame:
     """Postings as the larger side, once for each bucket a partner's size can be in."""
     return (
         postings.withColumn("least", F.expr(f"({percent} * n + 99) div 100"))
-        .withColumn("most", F.least("n", F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")))
+        .withColumn("most", F.least("n", _most(percent)))
         .filter("most >= least")
         .withColumn("bucket", F.explode(F.sequence(_bucket(F.col("least"), percent), _bucket(F.col("most"), percent))))
     )
@@ -356,12 +366,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
-    return (
+    found = frames.store(
         pairs.join(left, "a").join(right, "b")
         .select("a", "b", (F.size("left") + F.size("right")).alias("sizes"), both.alias("common"))
         .filter(f"100 * common >= {percent} * (sizes - common)")
-        .select("a", "b").distinct()
-    )
+        .select("a", "b").distinct(), "verified")
+    frames.discard(sets)
+    return found
 
 
 def _within(differing: Column, sizes: Column, percent: int) -> Column:
@@ -373,6 +384,53 @@ def _total(columns: list[Column]) -> Column:
     return sum(columns[1:], columns[0]).cast("long")
 
 
+def _unsettled(postings: DataFrame, known: DataFrame) -> tuple[DataFrame, bool]:
+    """Postings of the shingles that several components have, with their component.
+
+    Also whether drawn hubs pay: whether these shingles join many more pairs of
+    different components than there are pairs of a posting with its hubs.
+    """
+    rows = postings.join(known, "node", "left").select(
+        "token", "pos", "n", "node", F.coalesce("component", "node").alias("component"), *FOLDED)
+    mixed = frames.store(
+        rows.groupBy("token", "component").agg(F.count("*").cast("double").alias("one"))
+        .groupBy("token").agg(F.count("*").alias("components"), F.sum("one").alias("rows"), F.sum(F.col("one") * F.col("one")).alias("within"))
+        .filter("components > 1").select("token", "rows", (F.col("rows") * F.col("rows") - F.col("within")).alias("between")), "mixed")
+    tokens, all_rows, between = mixed.agg(F.count("*"), F.sum("rows"), F.sum("between")).first()
+    left = frames.store(rows.join(frames.small_or_plain(mixed.select("token"), tokens), "token", "left_semi"), "labelled")
+    frames.discard(mixed)
+    return left, bool(tokens) and between > 4 * HUBS * all_rows
+
+
+def _differing_bits(one: Callable[[str], Column], two: Callable[[str], Column]) -> Column:
+    return _total([F.bit_count(one(name).bitwiseXOR(two(name))) for name in FOLDED])
+
+
+def _closest_to_hubs(labelled: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs a, b of nodes: for each two components the closest of a posting and a hub of its cell.
+
+    Hubs are drawn by a digest of shingle and node, others in each turn. A hub also
+    meets the postings of the next smaller and larger sizes.
+    """
+    rows = labelled.withColumn("most", _most(percent)).withColumn("bucket", _bucket(F.col("n"), percent))
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit(turn), "token", "node"))
+    hubs = (
+        drawn.groupBy("token", "bucket", F.pmod("draw", F.lit(HUBS)).alias("part"))
+        .agg(F.min(F.struct("draw", "node", "component", "n", "most", *FOLDED)).alias("hub"))
+        .select("token", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")).alias("bucket"), "hub")
+    )
+    differing = _differing_bits(F.col, lambda name: F.col(f"hub.{name}"))
+    sizes = F.col("n") + F.col("hub.n")
+    met = rows.join(hubs, ["token", "bucket"]).filter(
+        (F.col("component") != F.col("hub.component")) & (F.col("n") <= F.col("hub.most")) & (F.col("hub.n") <= F.col("most"))
+        & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & _within(differing, sizes, percent))
+    pair = F.struct((differing / sizes).alias("apart"), *_ordered("node", "hub.node"))
+    return (
+        met.groupBy(F.least("component", "hub.component").alias("ca"), F.greatest("component", "hub.component").alias("cb"))
+        .agg(F.min(pair).alias("pair")).select("pair.a", "pair.b")
+    )
+
+
 def _between_components(labelled: DataFrame, percent: int) -> DataFrame:
     """Pairs x, y of nodes of different components that share a cell and pass all filters."""
     cell = ["token", "bucket"]
@@ -408,7 +466,7 @@ def _between_components(labelled: DataFrame, percent: int) -> DataFrame:
     near = near.select(*left.columns[:2], "cb", "x", "nx", "reach", *[f"x_{name}" for name in FOLDED])
     right = large.select(*cell, F.col("component").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"),
                          "least", "most", *[F.col(name).alias(f"y_{name}") for name in FOLDED])
-    differing = _total([F.bit_count(F.col(f"x_{name}").bitwiseXOR(F.col(f"y_{name}"))) for name in FOLDED])
+    differing = _differing_bits(lambda name: F.col(f"x_{name}"), lambda name: F.col(f"y_{name}"))
     return near.join(right, [*cell, "cb"]).filter(
         (F.col("x") != F.col("y")) & F.col("nx").between(F.col("least"), F.col("most")) & (F.col("ny") <= F.col("reach"))
         & _within(differing, F.col("nx") + F.col("ny"), percent))
@@ -437,22 +495,38 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         .filter("node != hub.node and hub.n between least and most and n <= hub.most")
         .select(*_ordered("node", "hub.node"))
     )
-    first = frames.store(near.union(members.select(*_ordered("node", "member"))).distinct(), "pairs")
-    likely = frames.store(_plausible(first, usable, percent), "likely")
-    links = frames.store(_verified(docs, likely, width, percent), "verified")
+    tried = frames.store(near.union(members.select(*_ordered("node", "member"))).distinct(), "pairs")
+    likely = frames.store(_plausible(tried, usable, percent), "likely")
+    links = _verified(docs, likely, width, percent)
     known = frames.store(components(links), "components")
 
     everyone = postings.select("token", "pos", "n", "node", *FOLDED).union(
         postings.drop(*FOLDED).join(members.select("n", "group", "member", *FOLDED), ["n", "group"])
         .select("token", "pos", "n", F.col("member").alias("node"), *FOLDED))
-    labelled = frames.store(
-        everyone.join(known, "node", "left").select(
-            "token", "pos", "n", "node", F.coalesce("component", "node").alias("component"), *FOLDED), "labelled")
+    labelled, crowded = _unsettled(everyone, known)
+    frames.discard(postings)
+    for turn in range(ROUNDS):
+        if not crowded:
+            break
+        close = frames.store(_closest_to_hubs(labelled, percent, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        likely = frames.store(_plausible(close, usable, percent), "likely")
+        tried = tried.union(close)
+        more = _verified(docs, likely, width, percent)
+        added, had = more.count(), links.count()
+        if added:
+            links = links.union(more)
+            known = frames.store(components(links), "components")
+            before = labelled
+            labelled, crowded = _unsettled(before.drop("component"), known)
+            frames.discard(before)
+        if added < WORTH * had:
+            break
+    # What the rounds leave is compared whole.
     candidates = _between_components(labelled, percent)
-    rest = candidates.select(*_ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = candidates.select(*_ordered("x", "y")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = frames.store(_plausible(rest, usable, percent), "likely")
     if not rest.isEmpty():
-        more = frames.store(_verified(docs, rest, width, percent), "verified")
+        more = _verified(docs, rest, width, percent)
         if not more.isEmpty():
             known = frames.store(components(links.union(more)), "components")
 

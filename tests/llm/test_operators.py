@@ -89,6 +89,37 @@ def test_components_match_all_pairs(spark, docs, width, percent):
     assert Counter(map(tuple, found)) == wanted
 
 
+def test_linked_families_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies with some of 16 edits: about half of their pairs link, and few hubs link with all."""
+    rng = np.random.default_rng(8)
+    base = prose(40, 400).split()
+    places = rng.choice(400, 16, replace=False)
+    texts = []
+    for _ in range(240):
+        edited = set(places[rng.random(16) < 0.5].tolist())
+        texts.append(" ".join(f"edit{j}" if j in edited else word for j, word in enumerate(base)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared, between = [], ngram_join._between_components
+
+    def counted(labelled, percent):
+        pairs = between(labelled, percent)
+        compared.append(pairs.select(*ngram_join._ordered("x", "y")).distinct().count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_between_components", counted)
+    found = dict((row["doc_id"], row["component_id"]) for row in ngram_join.similarity_components(rows, 5, 80).collect())
+    sets, links = [shingles(text, 5) for text in texts], 0
+    root = list(range(len(texts)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if 100 * len(one & sets[j]) >= 80 * len(one | sets[j]):
+                links += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert found == dict(enumerate(root))
+    assert links > 5000 and max(compared) < len(texts)
+
+
 def test_one_row_of_each_component_stays(spark):
     near = prose(30, 300)
     nearly = near.replace(near.split()[150], "changed", 1)
